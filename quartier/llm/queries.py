@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import sharding, urls, vectors
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op7_url_filters": urls.op7_url_filters,
+    "op8_exact_top_k": vectors.op8_exact_top_k,
+}
+ORACLES: dict[str, str] = {
+    "op8_exact_top_k": vectors.OP8_SQL,
 }
-ORACLES: dict[str, str] = {}
