@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import sharding, urls, vectors
+from . import bpe, sharding, token_counts, urls, vectors
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op5_bpe": bpe.op5_bpe,
     "op7_url_filters": urls.op7_url_filters,
     "op8_exact_top_k": vectors.op8_exact_top_k,
+    "op9_token_counts": token_counts.op9_token_counts,
 }
 ORACLES: dict[str, str] = {
     "op8_exact_top_k": vectors.OP8_SQL,
