@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding, token_counts, urls, vectors
+from . import bpe, language, sharding, token_counts, urls, vectors
 
 QUERIES = {
+    "op2_language_id": language.op2_language_id,
     "op3_sharding": sharding.op3_sharding,
     "op5_bpe": bpe.op5_bpe,
     "op7_url_filters": urls.op7_url_filters,
