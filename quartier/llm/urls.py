@@ -68,7 +68,10 @@ def _differs(bad: Column, n: Column, all_bad: Column, all_n: Column, z: float) -
 
 
 def templates(shapes: DataFrame, depth: int, many: int = 50, rare: float = 0.005, z: float = 2.58) -> DataFrame:
-    """Adds ``template`` to (host, shape, total, bad, labelled) rows, working down one level at a time."""
+    """Adds ``template`` to (host, shape, total, bad, labelled) rows, working down one level at a time.
+
+    The tree is read three times a level, so each level is written to the shared folder: the plan stays as long as one level.
+    """
     tree = shapes.withColumn("template", F.col("host"))
     for level in range(depth + 1):
         segment = F.get(F.col("shape"), F.lit(level))
@@ -84,6 +87,7 @@ def templates(shapes: DataFrame, depth: int, many: int = 50, rare: float = 0.005
         label = F.when(F.col("segment") == "", F.lit("")).when(variable | alike, F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("segment")))
         names = child.join(parent, "template").select("template", "segment", label.alias("label"))
         tree = tree.join(names, ["template", "segment"]).withColumn("template", F.concat("template", "label")).drop("label", "segment")
+        tree = io.written(tree, "templates")
     return tree
 
 
@@ -96,6 +100,7 @@ def judge(pages: DataFrame, rules=RULES, depth: int = 3, strength: float = 4.0,
     shapes = parsed.groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("total"), F.coalesce(F.sum(bad), F.lit(0)).alias("bad"), F.count("fit").alias("labelled")
     )
+    shapes = io.written(shapes, "shapes")
     tree = templates(shapes, depth)
     sums = tree.groupBy("template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
     overall = shapes.agg((F.sum("bad") / F.greatest(F.sum("labelled"), F.lit(1))).alias("prior"))  # one row
