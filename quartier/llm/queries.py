@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, language, sharding, token_counts, urls, vectors
+from . import bpe, decontaminate, language, sharding, token_counts, urls, vectors
 
 QUERIES = {
     "op2_language_id": language.op2_language_id,
     "op3_sharding": sharding.op3_sharding,
     "op5_bpe": bpe.op5_bpe,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op7_url_filters": urls.op7_url_filters,
     "op8_exact_top_k": vectors.op8_exact_top_k,
     "op9_token_counts": token_counts.op9_token_counts,
