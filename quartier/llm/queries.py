@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, sharding, token_counts, urls, vectors
+from . import bpe, decontaminate, language, near_dup, sharding, token_counts, urls, vectors
 
 QUERIES = {
+    "op1_near_dedup": near_dup.op1_near_dedup,
     "op2_language_id": language.op2_language_id,
     "op3_sharding": sharding.op3_sharding,
     "op5_bpe": bpe.op5_bpe,
