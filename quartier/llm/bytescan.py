@@ -84,19 +84,23 @@ def windows_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def anchors(b: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the grams that are least in some window of ``window`` bytes.
+def anchors_of(prefix: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the grams that are least in some window of ``window`` bytes, from prefix sums.
+
+    Also, for each window, the upper half of its least hash.
 
     Equal windows choose equal grams at equal places, so each pair of equal windows shares an anchor.
     """
-    if len(b) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(len(b) - gram + 1)
-    h = span_hash(prefix_hash(b), at, at + gram)
+    n = len(prefix) - 1
+    if n < window:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    h = (prefix[gram:] - prefix[:-gram]) * powers(n)[1][: n - gram + 1]
+    h = mix(h)
+    order = (h >> np.uint64(32)).astype(np.uint32)
     width = window - gram + 1
-    low = windows_min(h, width)
+    low = windows_min(order, width)
     # a gram is an anchor if it equals the minimum of one of the windows that hold it
-    pad = np.full(width - 1, 0, np.uint64)
+    pad = np.zeros(width - 1, np.uint32)
     reach = ~windows_min(~np.concatenate([pad, low, pad]), width)
-    keep = h == reach
-    return at[keep], h[keep]
+    at = np.flatnonzero(order == reach)
+    return at, h[at], low

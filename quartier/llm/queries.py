@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, near_dup, sharding, token_counts, urls, vectors
+from . import bpe, decontaminate, language, near_dup, sharding, suffix_dedup, token_counts, urls, vectors
 
 QUERIES = {
     "op1_near_dedup": near_dup.op1_near_dedup,
     "op2_language_id": language.op2_language_id,
     "op3_sharding": sharding.op3_sharding,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_url_filters": urls.op7_url_filters,
