@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, near_dup, sharding, suffix_dedup, token_counts, urls, vectors
+from . import bpe, decontaminate, language, language_model, near_dup, sharding, suffix_dedup, token_counts, urls, vectors
 
 QUERIES = {
     "op1_near_dedup": near_dup.op1_near_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_url_filters": urls.op7_url_filters,
     "op8_exact_top_k": vectors.op8_exact_top_k,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_lm_scoring": language_model.op10_lm_scoring,
 }
 ORACLES: dict[str, str] = {
     "op8_exact_top_k": vectors.OP8_SQL,
