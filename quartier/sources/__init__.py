@@ -1 +1 @@
-
+"""Readers, normalisers, upserts and stores."""
