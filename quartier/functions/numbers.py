@@ -78,7 +78,10 @@ def centroid(rings: Column) -> Column:
         # the first ring adds, holes take away, whatever way round they are written
         return F.when(i == 0, 1.0).otherwise(-1.0) * F.signum(ring_area2(ring))
 
-    total = lambda f: F.aggregate(F.transform(rings, f), F.lit(0.0), lambda s, x: s + x)
+    def total(f) -> Column:
+        return F.aggregate(F.transform(rings, f), F.lit(0.0), lambda s, x: s + x)
+
     area2 = total(lambda r, i: outer_sign(r, i) * ring_area2(r))
-    x, y = (total(lambda r, i, a=a: outer_sign(r, i) * moment(r, a)) for a in ("x", "y"))
+    x = total(lambda r, i: outer_sign(r, i) * moment(r, "x"))
+    y = total(lambda r, i: outer_sign(r, i) * moment(r, "y"))
     return F.when(area2 != 0, F.struct((x / (3 * area2)).alias("lon"), (y / (3 * area2)).alias("lat")))

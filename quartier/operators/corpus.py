@@ -31,14 +31,14 @@ def split_sections(docs: DataFrame, text: str = "text", doc: str = "doc_id", mar
         marks = list(section.finditer(text))
         if not marks:
             yield whole, None, "", text.strip(), 0, False
-        for m, end in zip(marks, [*[n.start() for n in marks[1:]], len(text)], strict=True):
+        for m, end in zip(marks, [*[n.start() for n in marks[1:]], len(text)], strict=False):
             citation = re.sub(r"\s+", "", m.group(1))
             line = text[m.end() : end].split("\n", 1)[0]
             title = line[:120]
             body = text[m.end() + len(title) : end].strip()
             parts = list(paragraph.finditer(body))
             yield citation, None, title.strip(), body, 0, bool(parts)
-            for p, stop in zip(parts, [*[q.start() for q in parts[1:]], len(body)], strict=True):
+            for p, stop in zip(parts, [*[q.start() for q in parts[1:]], len(body)], strict=False):
                 yield f"{citation}({p.group(1)})", citation, "", body[p.end() : stop].strip(), 1, False
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -102,11 +102,13 @@ def bm25_top_k(queries: DataFrame, index: LexicalIndex, k: int = 30, match: str
 
 def rrf(ranked: Sequence[DataFrame], k: int = 60, top_k: int = 40) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, rank, chunk_id, ...) lists; ties go to the earlier list and rank."""
-    rows = [df.select("query_id", "chunk_id", "rank", F.lit(i).alias("list")) for i, df in enumerate(ranked)]
-    fused = reduce(DataFrame.unionByName, rows).groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("score"), F.min(F.struct("list", "rank")).alias("first")
-    )
-    fused = fused.withColumns({"first_list": F.col("first.list"), "first_rank": F.col("first.rank")})
+    # keyed by text, so that lists which are dealt out by query in different ways can be put together
+    rows = [
+        df.select(F.col("query_id").cast("string").alias("q"), F.col("chunk_id").cast("string").alias("c"), "rank", F.struct(F.lit(i).alias("list"), "rank", "query_id", "chunk_id").alias("at"))
+        for i, df in enumerate(ranked)
+    ]
+    fused = reduce(DataFrame.unionByName, rows).groupBy("q", "c").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("score"), F.min("at").alias("at"))
+    fused = fused.select("score", F.col("at.query_id").alias("query_id"), F.col("at.chunk_id").alias("chunk_id"), F.col("at.list").alias("first_list"), F.col("at.rank").alias("first_rank"))
     return top_n(fused, ["query_id"], ["-score", "first_list", "first_rank", "chunk_id"], top_k).select("query_id", "rank", "chunk_id", "score")
 
 

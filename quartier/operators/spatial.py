@@ -38,7 +38,8 @@ def strictly_inside(x: Column, y: Column, rings: Column) -> Column:
 
 def _cells(polys: DataFrame, cell: float) -> DataFrame:
     """One row for each grid cell that a polygon's bounding box touches."""
-    xs, ys = (F.flatten(F.transform("rings", lambda r, a=a: F.transform(r, lambda p: p[a]))) for a in ("x", "y"))
+    corners = F.flatten("rings")
+    xs, ys = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
     box = polys.withColumns({"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)})
     steps = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
     return box.withColumn("_cx", F.explode(steps("_x0", "_x1"))).withColumn("_cy", F.explode(steps("_y0", "_y1")))

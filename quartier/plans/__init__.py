@@ -1 +1 @@
-
+"""Named queries over the driver's tables."""

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import panel_queries, scoring_queries, text_queries
+
+QUERIES: dict = panel_queries.QUERIES | scoring_queries.QUERIES | text_queries.QUERIES
+ORACLES: dict[str, str] = panel_queries.ORACLES | scoring_queries.ORACLES | text_queries.ORACLES

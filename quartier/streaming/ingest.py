@@ -46,6 +46,7 @@ def stream_upsert(stream: DataFrame, path: str, keys: Sequence[str], checkpoint:
 def stream_weekly_counts(stream: DataFrame, key: str, ts: str, delay: str = "0 seconds") -> DataFrame:
     """(key, week_start, n) of Monday weeks; rows later than the delay are dropped."""
     week = F.window(ts, "7 days", "7 days", "4 days")
+    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     counts = stream.withWatermark(ts, delay).groupBy(key, week.alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(key, F.col("w.start").cast("date").alias("week_start"), "n")
 
