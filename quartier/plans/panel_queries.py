@@ -436,3 +436,33 @@ def t7(spark, d):
 def t7b(spark, d):
     a, b = (t.table(spark, d, n).select(F.col(c).cast("date").alias("d")) for n, c in (("orders", "o_orderdate"), ("lineitem", "l_shipdate")))
     return ranking.shared_dates(a, b, "d")
+
+
+@query("s2_normalize_complaints", "SELECT CAST(o_orderdate AS DATE) AS created_date, CAST(o_orderkey % 100 AS DOUBLE) AS lon, 1.5 AS lat FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 7 <> 0".replace("1.5 AS lat", "CAST(1.5 AS DOUBLE) AS lat"))
+def s2(spark, d):
+    raw = t.table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("complaint_type"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("created_date"),
+        F.when(F.col("o_orderkey") % 7 != 0, (F.col("o_orderkey") % 100).cast("string")).alias("longitude"), F.lit("1.5").alias("latitude"),
+    )
+    return normalize.normalize_complaints(raw, "1-URGENT")
+
+
+@query("s4_normalize_permits", """SELECT source, count(*) AS n, count(DISTINCT permit_key) AS keys FROM (SELECT 'now' AS source, 'dob_now_' || o_orderkey || '_' || strftime(o_orderdate, '%Y-%m-%d') AS permit_key FROM orders
+UNION ALL SELECT 'legacy', 'old_' || l_orderkey || '_' || strftime(l_shipdate, '%Y-%m-%d') FROM lineitem WHERE l_linestatus = 'F') GROUP BY ALL""")
+def s4(spark, d):
+    day = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    a = t.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("job_filing_number"), day("o_orderdate").alias("issued_date"))
+    b = t.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("job__"), F.when(F.col("l_linestatus") == "F", day("l_shipdate")).alias("issuance_date"), F.col("l_linestatus").alias("job_type"))
+    out = normalize.normalize_permits({"dob_now": a, "old": b})
+    return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("permit_key").alias("keys"))
+
+
+@query("s5_normalize_lots", "SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS bbl, CAST(floor(abs(c_acctbal)) AS INTEGER) AS unitsres, left(c_mktsegment, 2) AS landuse, CAST(c_nationkey AS VARCHAR) AS nta2020 FROM customer WHERE c_custkey > 0")
+def s5(spark, d):
+    raw = t.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("bbl"), F.col("c_acctbal").cast("string").alias("unitsres"), F.col("c_mktsegment").alias("landuse"), F.col("c_nationkey").cast("string").alias("nta2020"))
+    return normalize.normalize_lots(raw).select("bbl", "unitsres", "landuse", "nta2020")
+
+
+@query("s6_normalize_weather", f"WITH {t.WEATHER} SELECT date, tavg_c, prcp_mm, round(greatest(18.0 - tavg_c, 0.0), 4) AS hdd, round(greatest(tavg_c - 18.0, 0.0), 4) AS cdd FROM daily")
+def s6(spark, d):
+    return normalize.normalize_weather(t.daily(spark, d).withColumnsRenamed({"date": "time", "tavg_c": "tavg", "prcp_mm": "prcp"}))

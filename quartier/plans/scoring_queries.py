@@ -328,3 +328,77 @@ def l3(spark, d):
 def l11(spark, d):
     out, _ = models.pca_embeddings(t.table(spark, d, "embeddings"), "embedding", 8, "vec_id")
     return out.select("vec_id", F.round(F.abs(F.col("pca")[0]), 4).alias("first"))
+
+
+@query("f4_quarters", """WITH e AS (SELECT min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS b FROM orders), q AS (SELECT CAST(unnest(generate_series(CAST(date_trunc('quarter', a) AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 3 MONTH)) AS DATE) AS f, b FROM e)
+SELECT year(f) || '-Q' || quarter(f) AS quarter, f AS first_day, least(last_day(CAST(f + INTERVAL 2 MONTH AS DATE)), b) AS last_day FROM q""")
+def f4(spark, d):
+    from ..functions.dates import quarters_between
+
+    a, b = t.table(spark, d, "orders").agg(F.min("o_orderdate").cast("date"), F.max("o_orderdate").cast("date")).first()
+    return quarters_between(spark, a, b, b)
+
+
+def _pixels(spark, d):
+    """Each supplier is an image of line items: line number across, quantity down."""
+    return t.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("area"), F.lit("q").alias("quarter"), (F.col("l_linenumber") % 3).alias("band"), F.col("l_quantity").cast("int").alias("y"), F.col("l_linenumber").alias("x"), F.col("l_extendedprice").alias("value"),
+        F.when(F.col("l_returnflag") == "N", 4).otherwise(9).alias("scl"), F.col("l_quantity").alias("cloud"),
+    )
+
+
+@query("f20_band_zscore", """WITH p AS (SELECT l_suppkey AS area, l_linenumber % 3 AS band, l_extendedprice AS value FROM lineitem), s AS (SELECT band, avg(value) AS m, stddev_pop(value) AS sd FROM p GROUP BY ALL)
+SELECT area, band, count(*) AS n, round(sum((value - m) / (sd + 1e-6)), 4) AS total FROM p JOIN s USING (band) GROUP BY ALL""")
+def f20(spark, d):
+    pixels = _pixels(spark, d)
+    stats = pixels.groupBy("band").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return aggregates.band_zscore(pixels, stats).groupBy("area", "band").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("f21_centre_crop", """WITH p AS (SELECT l_suppkey AS area, CAST(l_quantity AS INTEGER) AS y, l_linenumber AS x FROM lineitem), e AS (SELECT area, greatest(0, CAST(floor((max(y) + 1 - 4) / 2) AS INTEGER)) AS y0, greatest(0, CAST(floor((max(x) + 1 - 4) / 2) AS INTEGER)) AS x0 FROM p GROUP BY ALL)
+SELECT area, CAST(y - y0 AS BIGINT) AS y, CAST(x - x0 AS BIGINT) AS x, count(*) AS n FROM p JOIN e USING (area) WHERE y - y0 BETWEEN 0 AND 3 AND x - x0 BETWEEN 0 AND 3 GROUP BY ALL""")
+def f21(spark, d):
+    return aggregates.centre_crop(_pixels(spark, d), 4, ["area"]).groupBy("area", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a20_eval_summary", f"""WITH {t.SCORED}, i AS (SELECT lang, CASE WHEN y = 1 THEN p ELSE -1 END AS m FROM scored), b AS (SELECT * FROM i UNION ALL SELECT 'all', m FROM i)
+SELECT lang AS "group", 'm' AS metric, round(avg(nullif(m, -1)), 6) AS mean, count(nullif(m, -1)) AS n, count(*) FILTER (WHERE m = -1) AS skipped, round(avg(nullif(m, -1)), 6) >= 0.4 AS passed FROM b GROUP BY ALL""")
+def a20(spark, d):
+    items = t.scored(spark, d).select("lang", F.when(F.col("y") == 1, F.col("p")).otherwise(F.lit(-1.0)).alias("m"))
+    return aggregates.eval_summary(items, {"m": 0.4}, "lang")
+
+
+@query("l1_logistic")
+def l1(spark, d):
+    rows = _training(spark, d)
+    model = models.fit_logistic(rows.where("role = 'train'"), FEATURES, "y")
+    return models.positive_score(model.transform(rows.where("role = 'test'"))).select("row", F.round("score", 4).alias("score"))
+
+
+@query("l7_fusion")
+def l7(spark, d):
+    rows = _training(spark, d)
+    train = rows.where("role = 'train'")
+    model, isotonic = models.fit_fusion(train, FEATURES, "y", validation.holdout_split(train.drop("role")).where("role = 'test'"))
+    return models.apply_fusion(rows.where("role = 'test'"), model, isotonic).select("row", "fused_class", F.round("fused_score", 4).alias("fused_score"))
+
+
+@query("l8_mlp")
+def l8(spark, d):
+    rows = _training(spark, d)
+    model = models.fit_mlp(rows.where("role = 'train'"), FEATURES, "y", hidden=(8,))
+    return models.positive_score(model.transform(rows.where("role = 'test'"))).select("row", F.round("score", 4).alias("score"))
+
+
+@query("l9_linear_attribution")
+def l9(spark, d):
+    rows = _training(spark, d)
+    model = models.fit_logistic(rows.where("role = 'train'"), FEATURES, "y")
+    out = models.linear_attribution(rows.where("role = 'test'"), model, FEATURES, 2)
+    return out.select("row", F.explode("top_factors").alias("f")).select("row", "f.feature", F.round("f.contribution", 4).alias("contribution"))
+
+
+@query("s17_out_of_fold", f"WITH {t.LABELS} SELECT nta_id || '|' || week_start AS key, round(positive_count / total_count, 6) AS value FROM labels")
+def s17(spark, d):
+    rows = t.labels(spark, d)
+    return rows.select(F.concat_ws("|", "nta_id", F.col("week_start").cast("string")).alias("key"), F.round(F.col("positive_count") / F.col("total_count"), 6).alias("value"))

@@ -222,3 +222,59 @@ SELECT metric, ts, value, round(baseline, 6) AS baseline, coalesce(value < basel
 def e5(spark, d):
     h = t.table(spark, d, "events").groupBy(F.col("event_type").alias("metric"), F.col("ts").cast("date").alias("ts")).agg(F.round(F.avg("value"), 6).alias("value"))
     return evaluation.regressions(h).withColumn("baseline", F.round("baseline", 6))
+
+
+@query("f22_context_block", "SELECT conv_id, string_agg('[' || turn_no || '] §' || turn || ' (chat)' || chr(10) || left(text, 4000), chr(10) || chr(10) ORDER BY turn_no) AS block FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS turn_no FROM conversations) GROUP BY ALL")
+def f22(spark, d):
+    entry = F.struct("turn", "role", "text")
+    rows = t.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("m"))
+    chunks = F.transform("m", lambda x: F.struct(F.concat(F.lit("§"), x["turn"].cast("string")).alias("citation"), F.lit("chat").alias("authority"), x["text"].alias("content_with_prefix")))
+    return rows.select("conv_id", text.context_block(chunks).alias("block"))
+
+
+@query("f23_retrieval_query", "SELECT event_id, 'NYC rat risk NTA ' || event_type || ': risk score ' || printf('%.2f', value) || '. Top risk factors: ' || event_type || '. What are the relevant health code regulations, seasonal patterns, and mitigation actions?' AS q FROM events")
+def f23(spark, d):
+    factors = F.array(text.describe_factor(F.col("event_type"), F.col("value")))
+    return t.table(spark, d, "events").select("event_id", text.retrieval_query(F.col("event_type"), F.col("value"), factors).alias("q"))
+
+
+@query("f23_summary_prompt")
+def f23b(spark, d):
+    factors = F.array(text.describe_factor(F.col("event_type"), F.col("value") - 50))
+    weeks = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.struct(F.date_add(F.lit("2024-01-01").cast("date"), 7 * i).alias("forecast_week"), (i / 20.0).alias("p50")))
+    chunks = F.array(F.struct(F.lit("§1.2").alias("citation"), F.col("event_type").alias("content")))
+    e = t.table(spark, d, "events")
+    return e.select("event_id", text.summary_prompt(F.col("event_type"), F.col("ts").cast("date"), F.col("value") / 100, F.lit(3), factors, weeks, chunks).alias("prompt"))
+
+
+@query("r6_embed", f"WITH {CHUNKS} SELECT chunk_id, len(t) > 0 AS unit FROM c")
+def r6(spark, d):
+    e = retrieval.embed(_chunks(spark, d), "content")
+    norm = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return e.select("chunk_id", (F.abs(norm - 1) < 1e-4).alias("unit"))
+
+
+@query("r11_rerank", f"""WITH {BM25}, r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS first FROM h), s AS (SELECT r.*, len(list_intersect(q.t, c.t)) / len(q.t) AS s FROM r JOIN q USING (query_id) JOIN c USING (chunk_id) WHERE first <= 20),
+k AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, first, chunk_id) AS INTEGER) AS rank FROM s) SELECT * FROM k WHERE rank <= 6""")
+def r11(spark, d):
+    hits = retrieval.bm25_top_k(_asked(spark, d), retrieval.lexical_index(_chunks(spark, d)), 20)
+    rows = hits.join(_asked(spark, d), "query_id").join(_chunks(spark, d), "chunk_id")
+    return retrieval.rerank(rows, retrieval.overlap_score).select("query_id", "chunk_id", "rank")
+
+
+@query("j16_expand_parents", """SELECT conv_id AS query_id, turn AS rank, turn % 2 = 1 AS expanded FROM (SELECT DISTINCT conv_id, turn FROM conversations)""")
+def j16(spark, d):
+    c = t.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("query_id"), F.col("turn").cast("int").alias("rank")).agg(F.min("text").alias("content"))
+    hits = c.withColumns({"chunk_id": F.concat_ws("/", "query_id", "rank"), "parent_chunk_id": F.when(F.col("rank") % 2 == 1, F.concat_ws("/", F.lit("p"), "query_id")), "content_with_prefix": F.col("content")})
+    parents = c.select(F.concat_ws("/", F.lit("p"), "query_id").alias("chunk_id"), F.lit("one two").alias("content_with_prefix")).distinct()
+    return joins.expand_parents(hits, parents, 10**9).select("query_id", F.col("rank").cast("long").alias("rank"), "expanded")
+
+
+@query("r14_link_parents", "SELECT item_id, true AS linked FROM benchmark")
+def r14(spark, d):
+    b = t.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("document"), "item_id")
+    rows = b.select("item_id", "document", F.lit("§1.2(a)").alias("citation"), F.concat_ws("-", "document", F.lit("a")).alias("chunk_id")).unionByName(
+        b.select("item_id", "document", F.lit("§1.2").alias("citation"), F.concat_ws("-", "document", F.lit("s")).alias("chunk_id"))
+    )
+    linked = corpus.link_parents(rows).where("citation = '§1.2(a)'")
+    return linked.select("item_id", (F.col("parent_chunk_id") == F.concat_ws("-", "document", F.lit("s"))).alias("linked"))
