@@ -65,11 +65,15 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
 
 
 def block_pairs(members: Column, of: str, block: int = BLOCK) -> Column:
-    """Adds i and j: the pair of blocks for which a row is needed. ``members`` counts the group's rows."""
+    """The pairs of blocks (i, j) that need a row, with its own block. ``members`` counts the group's rows.
+
+    The task of two different blocks only answers with edges between them; what it finds inside one of them, that
+    block's own task answers with.
+    """
     blocks = F.ceil(members / block).cast("int")
     mine = F.pmod(F.xxhash64(of), blocks).cast("int")
     others = F.sequence(F.lit(0), blocks - 1)
-    return F.transform(others, lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j")))
+    return F.transform(others, lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), mine.alias("own")))
 
 
 def inverted_lists(nodes: DataFrame, floor: float) -> DataFrame:
@@ -102,9 +106,9 @@ def family_edges(lists: DataFrame, nodes: DataFrame, floor: float, buckets: int)
     """(a, b): edges that connect, list by list, the nodes with similar sketches."""
     keyed = lists.withColumn("pair", F.explode(block_pairs(F.col("members"), "node")))
     bucket = F.when(F.col("members") <= BLOCK, F.pmod(F.xxhash64("value"), F.lit(buckets))).otherwise(
-        F.lit(buckets) + F.pmod(F.xxhash64("value", "pair"), F.lit(buckets * 64))
+        F.lit(buckets) + F.pmod(F.xxhash64("value", "pair.i", "pair.j"), F.lit(buckets * 64))
     )
-    rows = keyed.select(bucket.alias("bucket"), "value", "pair.i", "pair.j", "node").join(nodes.select("node", "sketch"), "node")
+    rows = keyed.select(bucket.alias("bucket"), "value", "pair.i", "pair.j", "pair.own", "node").join(nodes.select("node", "sketch"), "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, position = np.unique(pdf["node"].to_numpy(), return_inverse=True)
@@ -116,25 +120,31 @@ def family_edges(lists: DataFrame, nodes: DataFrame, floor: float, buckets: int)
         out = []
         order = np.lexsort((position, pdf["j"], pdf["i"], pdf["value"]))
         key = pdf[["value", "i", "j"]].to_numpy()[order]
+        own = pdf["own"].to_numpy()[order]
         ends = np.append(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key))
         pairs, start = [], 0
 
         def settle() -> None:
             a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-            both = np.unique(a.astype(np.int64) * len(ids) + b)
-            a, b = both // len(ids), both % len(ids)
+            told = np.concatenate([p[2] for p in pairs])  # by another task
+            both, first = np.unique((a.astype(np.int64) * len(ids) + b) * 2 + ~told, return_index=True)
+            a, b, told = a[first], b[first], told[first]
             root = np.array([sets.find(x) for x in range(len(ids))])
             apart = root[a] != root[b]
-            a, b = a[apart], b[apart]
+            a, b, told = a[apart], b[apart], told[apart]
             ok = _similar(sketch[a], sketch[b], floor)
-            out.extend((ids[x], ids[y]) for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True) if sets.join(x, y))
+            for x, y in zip(a[ok & told].tolist(), b[ok & told].tolist(), strict=True):
+                sets.join(x, y)
+            new = ok & ~told
+            out.extend((ids[x], ids[y]) for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True) if sets.join(x, y))
             pairs.clear()
 
         waiting = 0
         for end in ends:
             members = position[order[start:end]]
             a, b = np.triu_indices(len(members), 1)
-            pairs.append((np.minimum(members[a], members[b]), np.maximum(members[a], members[b])))
+            told = (own[start:end][a] == own[start:end][b]) & (key[start, 1] != key[start, 2])
+            pairs.append((np.minimum(members[a], members[b]), np.maximum(members[a], members[b]), told))
             waiting, start = waiting + len(a), end
             if waiting > 1 << 19:
                 settle()
@@ -170,14 +180,15 @@ def linked_edges(families: DataFrame, docs: DataFrame, n: int, percent: int, buc
     """
     keyed = families.withColumn("pair", F.explode(block_pairs(F.col("members"), "node")))
     bucket = F.when(F.col("members") <= BLOCK, F.pmod(F.xxhash64("family"), F.lit(buckets))).otherwise(
-        F.lit(buckets) + F.pmod(F.xxhash64("family", "pair"), F.lit(buckets * 64))
+        F.lit(buckets) + F.pmod(F.xxhash64("family", "pair.i", "pair.j"), F.lit(buckets * 64))
     )
-    texts = docs.select("doc_id", "text").join(families.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = keyed.select(bucket.alias("bucket"), "family", "pair.i", "pair.j", "node", "doc_id").join(texts, "doc_id")
+    # both joins shuffle at every size: the ids grow with the documents, and are never broadcast
+    texts = docs.select("doc_id", "text").join(families.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    rows = keyed.select(bucket.alias("bucket"), "family", "pair.i", "pair.j", "pair.own", "node", "doc_id").hint("merge").join(texts, "doc_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, part in pdf.groupby(["family", "i", "j"]):
+        for (_, i, j), part in pdf.groupby(["family", "i", "j"]):
             part = part.assign(set=[shingle_set(t, n) for t in part["text"]])
             # a repeated id may bring a text of another set
             part = part[[_set_id(s) == node for s, node in zip(part["set"], part["node"], strict=True)]].drop_duplicates("node")
@@ -187,8 +198,10 @@ def linked_edges(families: DataFrame, docs: DataFrame, n: int, percent: int, buc
             common, size = intersections(sets), np.array([len(s) for s in sets])
             a, b = np.triu_indices(len(ids), 1)
             ok = 100 * common[a, b] >= percent * (size[a] + size[b] - common[a, b])
-            a, b = a[ok], b[ok]
-            out += [(ids[a[e]], ids[b[e]]) for e in graph.spanning(len(ids), a, b)]
+            a, b, own = a[ok], b[ok], part["own"].to_numpy()
+            told = (own[a] == own[b]) & (i != j)
+            a, b = np.concatenate([a[told], a[~told]]), np.concatenate([b[told], b[~told]])
+            out += [(ids[a[e]], ids[b[e]]) for e in graph.spanning(len(ids), a, b) if e >= told.sum()]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("bucket").applyInPandas(run, "a long, b long")
@@ -223,4 +236,4 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group, that with the smallest id: five-word shingles, similarity 0.8 or more."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id == F.col("_kept"), "left_semi")
+    return docs.join(kept.hint("merge"), docs.doc_id == F.col("_kept"), "left_semi")
