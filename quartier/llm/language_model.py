@@ -3,8 +3,8 @@
 Counting takes three steps, each a shuffle of pre-counted messages: tokens, then bigrams of token numbers, then what the bigrams say of each
 token (its continuations and its contexts by count). Keys are dealt by hash ranges, and a task sends each distinct
 key once, so a word that is a third of all tokens is no heavier than others. Each range becomes sorted hash arrays in
-files of the shared folder, which workers map into memory; only totals reach the driver. Where that folder is no local path,
-workers fetch the files to a scratch folder of their own and remove it when they end.
+files of the shared folder, which workers map into memory; only totals reach the driver. Where that folder is a store that is not
+mounted, workers read the arrays of a few ranges at a time instead.
 
 Token numbers are positions in the sorted array of token hashes; hashes have 64 bits. Contexts that training has not seen back off to the
 continuation distribution, and unseen tokens share the uniform part.
@@ -16,11 +16,8 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import atexit
 import functools
 import io as bytes_io
-import shutil
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -52,26 +49,27 @@ def put(folder: str, name: str, **arrays: np.ndarray) -> None:
         store.move(part, f"{path}/{name}.{key}.npy")
 
 
-@functools.cache
-def _scratch() -> str:
-    folder = tempfile.mkdtemp(prefix="model-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
+@functools.lru_cache(maxsize=4096)
+def _mapped(path: str) -> np.ndarray:
+    return np.load(path, mmap_mode="r")
+
+
+@functools.lru_cache(maxsize=16)
+def _fetched(folder: str, path: str) -> np.ndarray:
+    from pyarrow import fs
+
+    store, _ = fs.FileSystem.from_uri(folder)
+    with store.open_input_file(path) as source:
+        return np.load(bytes_io.BytesIO(source.read()))
 
 
-@functools.lru_cache(maxsize=4096)
 def get(folder: str, name: str, key: str) -> np.ndarray:
-    """An array of the shared folder, mapped into memory."""
+    """An array of the shared folder: mapped into memory where the folder is mounted, else read, a few at a time."""
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(folder)
     path = f"{path}/{name}.{key}.npy"
-    if not isinstance(store, fs.LocalFileSystem):
-        local = f"{_scratch()}/{abs(hash((folder, name, key)))}.npy"
-        with store.open_input_stream(path) as source, open(local, "wb") as out:
-            shutil.copyfileobj(source, out)
-        path = local
-    return np.load(path, mmap_mode="r")
+    return _mapped(path) if isinstance(store, fs.LocalFileSystem) else _fetched(folder, path)
 
 
 def spread(keys: np.ndarray, ranges: int) -> np.ndarray:
