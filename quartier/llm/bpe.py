@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from . import io
 
-MOST_WORDS = 400_000
+MOST_WORDS = 150_000
 #: Splits normalised text into words, as the vocabulary file says.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts of these characters only are split here: they are composed, and have simple case mappings.

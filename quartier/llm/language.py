@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import io
 
 SAMPLE_ROWS = 64
-SAMPLE_CHARS = 48_000
+SAMPLE_CHARS = 30_000
 LETTERS = 62
 PIECE = 1024
 
@@ -61,7 +61,6 @@ class SuffixAutomaton:
     """All substrings of one string of small integer codes, as a dense table of steps; 0 is "no such step"."""
 
     def __init__(self, codes: np.ndarray, width: int):
-        states = 2 * len(codes) + 2
         step, link, length = [{}], [-1], [0]
         last = 0
         for c in codes.tolist():
@@ -88,7 +87,7 @@ class SuffixAutomaton:
                     link[q] = link[new] = copy
             last = new
         # the start state is 0 and no step leads back to it, so 0 can stand for "none"
-        self.table = np.zeros((min(len(step), states), width), np.int32)
+        self.table = np.zeros((len(step), width), np.uint16 if len(step) < 1 << 16 else np.uint32)
         for state, edges in enumerate(step):
             for c, to in edges.items():
                 self.table[state, c] = to
@@ -130,11 +129,11 @@ class Model:
         owners = np.array(owner)[order]
         for k, automaton in enumerate(self.automata):
             flat, width = automaton.table.ravel(), self.width
-            state = np.zeros(len(pieces), np.int32)
+            state = np.zeros(len(pieces), np.int64)
             made = np.ones(len(pieces), np.int64)
             for t, n in enumerate(live):
                 c = matrix[t, :n]
-                to = flat[state[:n] * width + c]
+                to = flat[state[:n] * width + c].astype(np.int64)
                 ended = np.flatnonzero((to == 0) & (state[:n] != 0))  # the phrase ends before this letter
                 made[ended] += 1
                 to[ended] = flat[c[ended]]
