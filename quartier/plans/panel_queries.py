@@ -463,6 +463,7 @@ def s5(spark, d):
     return normalize.normalize_lots(raw).select("bbl", "unitsres", "landuse", "nta2020")
 
 
-@query("s6_normalize_weather", f"WITH {t.WEATHER} SELECT date, tavg_c, prcp_mm, round(greatest(18.0 - tavg_c, 0.0), 4) AS hdd, round(greatest(tavg_c - 18.0, 0.0), 4) AS cdd FROM daily")
+@query("s6_normalize_weather", f"WITH {t.WEATHER} SELECT date, round(tavg_c, 6) AS tavg_c, prcp_mm, round(greatest(18.0 - tavg_c, 0.0), 4) AS hdd, round(greatest(tavg_c - 18.0, 0.0), 4) AS cdd FROM daily")
 def s6(spark, d):
-    return normalize.normalize_weather(t.daily(spark, d).withColumnsRenamed({"date": "time", "tavg_c": "tavg", "prcp_mm": "prcp"}))
+    out = normalize.normalize_weather(t.daily(spark, d).withColumnsRenamed({"date": "time", "tavg_c": "tavg", "prcp_mm": "prcp"}))
+    return out.withColumn("tavg_c", F.round("tavg_c", 6))

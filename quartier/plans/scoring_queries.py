@@ -180,11 +180,11 @@ def a18(spark, d):
 @query("a19_usage_cost", """WITH p(model, usd_in, usd_out) AS (VALUES ('click', 3.0, 15.0), ('view', 0.5, 1.5)),
 m AS (SELECT CAST(ts AS DATE) AS day, event_type AS model, count(*) AS calls, CAST(sum(user_id) AS BIGINT) AS tokens_in, CAST(sum(user_id * 2) AS BIGINT) AS tokens_out,
   CAST(sum((user_id * coalesce(usd_in, 0.0) + user_id * 2 * coalesce(usd_out, 0.0)) / 1e6) AS DECIMAL(10, 6)) AS cost FROM events LEFT JOIN p ON model = event_type GROUP BY ALL)
-SELECT *, sum(cost) OVER (PARTITION BY day) > 0.02 AS over_limit FROM m""")
+SELECT day, model, calls, tokens_in, tokens_out, CAST(cost AS DOUBLE) AS cost, sum(cost) OVER (PARTITION BY day) > 0.02 AS over_limit FROM m""")
 def a19(spark, d):
     prices = spark.createDataFrame([("click", 3.0, 15.0), ("view", 0.5, 1.5)], "model string, usd_in double, usd_out double")
     spans = t.table(spark, d, "events").select("ts", F.col("event_type").alias("model"), F.col("user_id").alias("tokens_in"), (F.col("user_id") * 2).alias("tokens_out"))
-    return aggregates.usage_cost(spans, prices, 0.02)
+    return aggregates.usage_cost(spans, prices, 0.02).withColumn("cost", F.col("cost").cast("double"))
 
 
 @query("a21_prediction_coverage", f'WITH {t.LABELS} SELECT count(*) AS "rows", count(DISTINCT nta_id) AS areas, min(week_start) AS first_week, max(week_start) AS last_week, CAST(25 * 345 AS BIGINT) AS expected, round(count(*) / (25 * 345), 6) AS coverage FROM labels')

@@ -57,7 +57,7 @@ def permits(spark: SparkSession, d: str) -> DataFrame:
 def daily(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("date"), "o_totalprice")
     return orders.groupBy("date").agg(
-        F.round(F.avg("o_totalprice") / 10000, 4).alias("tavg_c"), F.count(F.lit(1)).cast("double").alias("prcp_mm")
+        (F.avg("o_totalprice") / 9973).alias("tavg_c"), F.count(F.lit(1)).cast("double").alias("prcp_mm")
     )
 
 
@@ -121,7 +121,7 @@ ITEMS = """items AS (SELECT c_nationkey AS nta_id, l_returnflag, l_linestatus, C
 pests AS (SELECT nta_id, CAST(date_trunc('week', ordered) AS DATE) AS week_start, count(*) FILTER (WHERE l_returnflag = 'R') AS pest_count FROM items GROUP BY ALL),
 permits AS (SELECT nta_id, CAST(date_trunc('week', ship) AS DATE) AS week_start, count(*) AS permits_count,
   count(*) FILTER (WHERE l_linestatus = 'F') AS demolitions_count FROM items GROUP BY ALL)"""
-WEATHER = """daily AS (SELECT CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice) / 10000, 4) AS tavg_c, CAST(count(*) AS DOUBLE) AS prcp_mm FROM orders GROUP BY ALL),
+WEATHER = """daily AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 9973 AS tavg_c, CAST(count(*) AS DOUBLE) AS prcp_mm FROM orders GROUP BY ALL),
 weather AS (SELECT CAST(date_trunc('week', date) AS DATE) AS week_start, round(avg(tavg_c), 4) AS weather_tavg_c, round(sum(prcp_mm), 4) AS weather_prcp_mm,
   round(sum(round(greatest(18.0 - tavg_c, 0.0), 4)), 4) AS weather_hdd, round(sum(round(greatest(tavg_c - 18.0, 0.0), 4)), 4) AS weather_cdd FROM daily GROUP BY ALL)"""
 STATIC = """static AS (SELECT c_nationkey AS nta_id, count(*) AS units_total, CAST(round_even(quantile_cont(c_acctbal, 0.5), 0) AS INTEGER) AS c_acctbal_median,
