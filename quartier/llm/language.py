@@ -9,7 +9,8 @@ Text is lower-cased; runs of anything but letters become one space. A document i
 into pieces of ``PIECE`` characters that advance together, one step at a time; a phrase that crosses a cut counts twice, for every language alike.
 
 The sample is bounded: of each language, the texts with the smallest id hashes in ``SAMPLE_ROWS`` hash buckets,
-up to ``SAMPLE_CHARS`` characters of letters and spaces in all.
+up to ``SAMPLE_CHARS`` characters of letters and spaces in all. Each text gives an equal share; what short texts leave of
+theirs goes to longer ones.
 
 Nulls and edge cases: a null text, or one without a letter, is ``und`` with score 0; rows without a label are
 not learned from; ties go to the first language by name; without any labelled text all is ``und``; repeated
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import io
 
 SAMPLE_ROWS = 64
-SAMPLE_CHARS = 30_000
+SAMPLE_CHARS = 48_000
 LETTERS = 62
 PIECE = 1024
 
@@ -58,7 +59,11 @@ def letters(text: str) -> np.ndarray:
 
 
 class SuffixAutomaton:
-    """All substrings of one string of small integer codes, as a dense table of steps; 0 is "no such step"."""
+    """All substrings of one string of small integer codes.
+
+    The states' rows of steps lie over each other in one array, shifted so that no two steps share a slot. A step of a
+    state by a code is in slot ``base[state] + code`` if ``owner`` of that slot is the state.
+    """
 
     def __init__(self, codes: np.ndarray, width: int):
         step, link, length = [{}], [-1], [0]
@@ -87,10 +92,45 @@ class SuffixAutomaton:
                     link[q] = link[new] = copy
             last = new
         # the start state is 0 and no step leads back to it, so 0 can stand for "none"
-        self.table = np.zeros((len(step), width), np.uint16 if len(step) < 1 << 16 else np.uint32)
+        rows = [sorted(edges) for edges in step]
+        self.base = np.zeros(len(step), np.int32)
+        taken, low = bytearray(3 * width), width
+        for state in sorted((s for s, row in enumerate(rows) if len(row) > 1), key=lambda s: -len(rows[s])):
+            shifts, at, tries = [c - rows[state][0] for c in rows[state][1:]], taken.find(0, low), 0
+            while any(taken[at + shift] for shift in shifts):
+                at, tries = taken.find(0, at + 1), tries + 1
+            low = at if tries > 16 else low  # states with one step fill what is left free
+            for shift in (0, *shifts):
+                taken[at + shift] = 1
+            self.base[state] = at - rows[state][0]
+            taken.extend(bytes(max(0, at + 3 * width - len(taken))))
+        single = np.array([s for s, row in enumerate(rows) if len(row) == 1], np.int64)
+        taken.extend(bytes(len(single) + width))
+        free = width + np.flatnonzero(np.frombuffer(taken, np.uint8)[width:] == 0)[: len(single)]
+        self.base[single] = free - np.array([rows[s][0] for s in single], np.int64)
+        size = width + 1 + int(max(self.base[s] + row[-1] for s, row in enumerate(rows) if row)) if len(codes) else width
+        self.owner, self.to = np.full(size, -1, np.int32), np.zeros(size, np.int32)
         for state, edges in enumerate(step):
             for c, to in edges.items():
-                self.table[state, c] = to
+                self.owner[self.base[state] + c], self.to[self.base[state] + c] = state, to
+        self.start = self.step(np.zeros(width, np.int32), np.arange(width))
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The states that the codes lead to; 0 is "no such step"."""
+        slot = self.base[state] + codes
+        return np.where(self.owner[slot] == state, self.to[slot], 0)
+
+
+def shared(texts: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """The beginnings of texts, equally long but for texts that are shorter, with ``size`` entries in all at most."""
+    left, share = size, 0
+    for i, n in enumerate(sorted(map(len, texts))):
+        share = left // (len(texts) - i)
+        if n > share:
+            break
+        left -= n
+        share = n
+    return [t[:share] for t in texts]
 
 
 class Model:
@@ -98,7 +138,7 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        texts = {lang: np.concatenate([letters(t) for t in samples[lang]])[:SAMPLE_CHARS] for lang in self.languages}
+        texts = {lang: np.concatenate(shared([letters(t) for t in samples[lang]], SAMPLE_CHARS)) for lang in self.languages}
         points, counts = np.unique(np.concatenate([*texts.values(), np.array([32], np.uint32)]), return_counts=True)
         kept = points[np.argsort(-counts, kind="stable")][:LETTERS]
         self.code = np.full(0x110000, LETTERS + 1, np.uint8)  # outside the alphabet
@@ -128,15 +168,14 @@ class Model:
         live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
         owners = np.array(owner)[order]
         for k, automaton in enumerate(self.automata):
-            flat, width = automaton.table.ravel(), self.width
-            state = np.zeros(len(pieces), np.int64)
+            state = np.zeros(len(pieces), np.int32)
             made = np.ones(len(pieces), np.int64)
             for t, n in enumerate(live):
                 c = matrix[t, :n]
-                to = flat[state[:n] * width + c].astype(np.int64)
+                to = automaton.step(state[:n], c)
                 ended = np.flatnonzero((to == 0) & (state[:n] != 0))  # the phrase ends before this letter
                 made[ended] += 1
-                to[ended] = flat[c[ended]]
+                to[ended] = automaton.start[c[ended]]
                 alone = np.flatnonzero(to == 0)  # a letter the sample lacks is a phrase by itself
                 made[alone] += 1
                 state[:n] = to

@@ -46,3 +46,32 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
     rows = language.op2_language_id(spark, d).where("held_out").join(truth, "doc_id").collect()
     assert len(rows) > 150 and sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
+
+
+def test_every_text_gives_a_share():
+    foreign = " ".join(SAMPLES["b"]) + " "
+    samples = {"a": [foreign * 1500, *SAMPLES["a"]], "b": SAMPLES["b"]}  # the first text alone is longer than a sample
+    model = language.Model(samples)
+    text = "the cat sat on the mat with the other cat"
+    assert model.predict([text])[0] == ["a"] and model.phrases([text])[0][0, 0] == 1
+    texts = [np.arange(n) for n in (90, 3, 20, 0, 50)]
+    assert [len(t) for t in language.shared(texts, 80)] == [28, 3, 20, 0, 28]
+    assert [len(t) for t in language.shared(texts, 1000)] == [90, 3, 20, 0, 50]
+    assert language.SAMPLE_CHARS == 48_000
+
+
+def test_packed_steps_hold_all_substrings():
+    rng = np.random.default_rng(5)
+    codes = rng.integers(1, 40, 4000) ** 2 // 40 + 1
+    automaton = language.SuffixAutomaton(codes, 45)
+    text = bytes(codes.tolist())
+    for _ in range(3000):
+        at = int(rng.integers(0, 3990))
+        query = codes[at : at + int(rng.integers(1, 9))].copy()
+        query[-1] = rng.integers(0, 45)
+        state = np.zeros(1, np.int32)
+        for i, c in enumerate(query):
+            state = automaton.step(state, query[i : i + 1])
+            assert (state[0] > 0) == (bytes(query[: i + 1].tolist()) in text)
+            if not state[0]:
+                break
