@@ -1,8 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts are reduced to lower-case letters and digits with single spaces between. Each benchmark item is cut into
-overlapping units of ``UNIT`` characters (an item no longer than that is one unit). A document holds a unit if it has a substring
-within the edit budget, ``RATE`` of the unit's length. By the q-gram lemma such a substring shares at least m + 1 - q - q * e
+overlapping units of ``UNIT`` characters, and into units of ``EXCERPT`` characters, one every ``STRIDE``. An excerpt of
+``EXCERPT + STRIDE - 1`` characters, 67, so holds a whole unit wherever in the item it begins. An item no longer than ``UNIT`` is one
+unit; its shorter excerpts are found where they are verbatim, and do not count as units. A document holds a unit if it has a substring within the edit budget, ``RATE`` of the unit's length. By the q-gram lemma such a substring shares at least m + 1 - q - q * e
 q-grams with the unit, on diagonals that lie within e of each other. So shared q-grams are counted in overlapping bands of
 diagonals, bands that meet the bound are kept, and those are aligned within the band.
 
@@ -27,6 +28,8 @@ from . import io
 
 Q = 8
 UNIT = 120
+EXCERPT = 60
+STRIDE = 8
 RATE = 0.08
 SHORTEST = 24
 BLOCK_CHARS = 4_000_000
@@ -140,15 +143,33 @@ def align(unit: np.ndarray, text: np.ndarray, first: int, diagonals: int) -> tup
     return int(cost[best]), first + best + len(unit)
 
 
-def units_of(item: int, text: str | None) -> list[tuple[int, np.ndarray]]:
+def _item(text: str | None) -> np.ndarray:
     points = reduced(text or "")
-    points = points[: len(points) - bool(len(points) and points[-1] == 32)]
+    return points[: len(points) - bool(len(points) and points[-1] == 32)]
+
+
+def units_of(item: int, text: str | None) -> list[tuple[int, np.ndarray]]:
+    points = _item(text)
     if len(points) < SHORTEST:
         return []
-    starts = list(range(0, max(1, len(points) - UNIT + 1), UNIT // 2))
-    if len(points) > UNIT and starts[-1] != len(points) - UNIT:
-        starts.append(len(points) - UNIT)
-    return [(item, points[s : s + UNIT]) for s in starts]
+    spans = _spans(len(points), UNIT, UNIT // 2)
+    if len(points) > UNIT:
+        spans += _spans(len(points), EXCERPT, STRIDE)
+    return [(item, points[s : s + size]) for s, size in spans]
+
+
+def excerpts_of(item: int, text: str | None) -> list[tuple[int, np.ndarray]]:
+    """The pieces of an item that is one unit, of which a verbatim copy is a hit."""
+    points = _item(text)
+    return [(item, points[s : s + size]) for s, size in _spans(len(points), EXCERPT, STRIDE)] if EXCERPT < len(points) <= UNIT else []
+
+
+def _spans(length: int, size: int, stride: int) -> list[tuple[int, int]]:
+    """(start, size) of units that begin every ``stride`` characters, and of the one that ends with the item."""
+    starts = list(range(0, max(1, length - size + 1), stride))
+    if length > size and starts[-1] != length - size:
+        starts.append(length - size)
+    return [(s, size) for s in starts]
 
 
 class Finder:
@@ -160,6 +181,8 @@ class Finder:
             for unit in units_of(item, text):
                 classes.setdefault(len(unit[1]).bit_length(), []).append(unit)
         self.indexes = [Index(units) for units in classes.values()]
+        excerpts = [unit for item, text in items for unit in excerpts_of(item, text)]
+        self.excerpts = [Index(excerpts)] if excerpts else []
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(position in texts, item, fewest edits, units held), from one scan over all texts joined."""
@@ -168,24 +191,31 @@ class Finder:
         joined = np.concatenate([gap, *parts]) if parts else gap
         starts = np.cumsum([len(gap), *[len(p) for p in parts]])[:-1:2]
         g = grams(joined)
-        found: dict[tuple[int, int], dict[int, int]] = {}
-        for index in self.indexes:
+        found: dict[tuple[int, int], dict[tuple[int, int], int]] = {}
+        verbatim: set[tuple[int, int]] = set()
+        for number, index in enumerate(self.indexes + self.excerpts):
             for u, diagonal in index.regions(g):
                 unit, edits, width = index.units[u], int(index.edits[u]), index.width
                 middle = diagonal + width + len(unit) // 2
                 doc = max(0, int(np.searchsorted(starts, min(max(middle, 0), len(joined)), side="right")) - 1)
-                held = found.setdefault((doc, int(index.items[u])), {})
-                if held.get(u) == 0:
+                pair, key = (doc, int(index.items[u])), (number, u)
+                held = found.setdefault(pair, {})
+                if held.get(key) == 0 or (number >= len(self.indexes) and pair in verbatim):
                     continue
                 low = max(0, diagonal - edits)
                 span = joined[low : diagonal + 2 * width + edits + len(unit)]
                 if unit.tobytes() in span.tobytes():
-                    held[u] = 0
+                    if number < len(self.indexes):
+                        held[key] = 0
+                    else:
+                        verbatim.add(pair)
+                    continue
+                if number >= len(self.indexes):
                     continue
                 n, _ = align(unit, span, 0, diagonal + 2 * width + edits - low)
                 if n <= edits:
-                    held[u] = min(n, held.get(u, n))
-        return [(doc, item, min(held.values()), len(held)) for (doc, item), held in sorted(found.items()) if held]
+                    held[key] = min(n, held.get(key, n))
+        return [(doc, item, min(held.values(), default=0), len(held)) for (doc, item), held in sorted(found.items()) if held or (doc, item) in verbatim]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -203,7 +233,7 @@ def _groups(pdf: pd.DataFrame, size: int = 1 << 21) -> Iterator[pd.DataFrame]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, edits, n_units): which document holds which benchmark item, by how many of its units."""
+    """(doc_id, item_id, edits, n_units): which document holds which benchmark item, by how many of its units (0: by a verbatim excerpt only)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
     found = None

@@ -69,3 +69,19 @@ def test_planted_passages(spark):
     want = {r.doc_id for r in docs.collect() if any(i.text in r.text for i in items)}
     got = {r.doc_id for r in d.op6_decontamination(spark, path).collect()}
     assert want and want <= got and len(got) <= len(want) + 10, (len(want), len(got))
+
+
+def test_excerpts_are_caught_wherever_they_begin():
+    rng = random.Random(8)
+    items = [(i, words(rng, n)) for i, n in enumerate([15, 40, 47, 90])]
+    finder = d.Finder(items)
+    least = d.EXCERPT + d.STRIDE - 1
+    assert least == 67
+    pieces = []
+    for i, text in items:
+        points = "".join(map(chr, d.reduced(text)[:-1]))
+        for length in (least, 90, 120, 130, 160):
+            last = len(points) - length
+            pieces += [(i, points[at : at + length]) for at in {0, last, *(rng.randrange(last + 1) for _ in range(12))} if last >= 0] if last >= 0 else []
+    found = {(doc, item): edits for doc, item, edits, _ in finder.find(["mnop " * 9 + piece + " mnop" * 9 for _, piece in pieces])}
+    assert len(pieces) > 150 and found == {(doc, i): 0 for doc, (i, _) in enumerate(pieces)}
