@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_top_k": vectors.op8_exact_top_k,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_lm_scoring": language_model.op10_lm_scoring,
+    "op10_lm_scoring_order_three": language_model.op10_lm_scoring_order_three,
 }
 ORACLES: dict[str, str] = {
     "op8_exact_top_k": vectors.OP8_SQL,

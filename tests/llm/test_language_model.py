@@ -80,3 +80,51 @@ def test_nothing_to_learn_from(spark):
     got = {r.doc_id: (r.n_tokens, r.n_known, r.score) for r in lm.score(docs, model).collect()}
     assert got == {1: (3, 0, 0.0), None: (1, 0, 0.0)}
     assert lm.score(docs.limit(0), model).count() == 0
+
+
+def brute_order(train, texts, order):
+    """Modified Kneser-Ney scores of any order with plain dictionaries of tuples."""
+    raw = {n: Counter() for n in range(1, order + 1)}
+    for t in train:
+        w = ["<s>", *tokens(t)]
+        for n in raw:
+            raw[n].update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    count = {order: raw[order]}
+    for n in range(order - 1, 0, -1):
+        count[n] = Counter(g[1:] for g in raw[n + 1])
+        count[n].update({g: c for g, c in raw[n].items() if g[0] == "<s>" and n > 1})
+    v = len({g for g in raw[1] if g != ("<s>",)})
+    d = {n: lm.discounts([sum(c == k for c in count[n].values()) for k in (1, 2, 3, 4)]) for n in count}
+    disc = lambda n, c: d[n][min(c, 3) - 1] if c else 0
+    total, rest = Counter(), Counter()
+    for n in count:
+        for g, c in count[n].items():
+            total[n, g[:-1]] += c
+            rest[n, g[:-1]] += disc(n, c)
+
+    def p(context, w):
+        n = len(context) + 1
+        low = p(context[1:], w) if context else 1 / (v + 1)
+        if not total[n, context]:
+            return low
+        c = count[n][(*context, w)]
+        return (max(c - disc(n, c), 0) + rest[n, context] * low) / total[n, context]
+
+    seen = {g[0] for g in raw[1]} - {"<s>"}
+    for context in [*[g[:-1] for g in list(raw[order])[:4]], ("<s>",)]:
+        assert abs(sum(p(context, w) for w in seen) + p(context, "unseen token") - 1) < 1e-9
+    lines = [["<s>", *tokens(t)] for t in texts]
+    return [sum(math.log10(p(tuple(w[max(0, i - order + 1) : i]), w[i])) for i in range(1, len(w))) for w in lines]
+
+
+def test_higher_orders_equal_brute_force(spark):
+    rng = random.Random(6)
+    words = ["The", "the", "cat", "sat", "on", "a"] + [f"w{i}" for i in range(25)]
+    weights = [1 / (i + 1) for i in range(len(words))]
+    texts = [" ".join(rng.choices(words, weights, k=rng.randint(0, 40))) for _ in range(60)] + [None, "", "never seen these", "the " * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for order in (2, 3, 4):
+        model = lm.train(docs.where("doc_id % 3 > 0"), io.shared_folder(spark, "lm"), order)
+        got = [r.score for r in lm.score(docs, model).orderBy("doc_id").collect()]
+        want = brute_order([t for i, t in enumerate(texts) if i % 3], texts, order)
+        assert all(abs(g - w) < 1e-6 * abs(w) + 1e-9 for g, w in zip(got, want, strict=True)), order
