@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..operators import aggregates, forecast, joins, models, ranking, series, validation
+from ..sources import store
 from . import tables as t
 
 QUERIES: dict = {}
@@ -400,5 +403,8 @@ def l9(spark, d):
 
 @query("s17_out_of_fold", f"WITH {t.LABELS} SELECT nta_id || '|' || week_start AS key, round(positive_count / total_count, 6) AS value FROM labels")
 def s17(spark, d):
-    rows = t.labels(spark, d)
-    return rows.select(F.concat_ws("|", "nta_id", F.col("week_start").cast("string")).alias("key"), F.round(F.col("positive_count") / F.col("total_count"), 6).alias("value"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-oof-")
+    path = f"{base.rstrip('/')}/oof-{uuid.uuid4().hex}"
+    store.write_oof(t.labels(spark, d).withColumn("score", F.col("positive_count") / F.col("total_count")), path)
+    rows = store.read_oof(spark, path)
+    return rows.select(F.concat_ws("|", "nta_id", F.col("week_start").cast("string")).alias("key"), F.round("score", 6).alias("value"))

@@ -56,3 +56,18 @@ def test_entry_names_are_complete():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_queries_take_whole_texts(spark, monkeypatch):
+    from quartier.plans import tables, text_queries
+    from quartier.sources import store
+
+    rows = [(1, 1, "user", "and §151.99 with Article 77")]
+    made = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    real, written = tables.table, []
+    monkeypatch.setattr(tables, "table", lambda s, d, name: made if name == "conversations" else real(s, d, name))
+    assert text_queries.f16(spark, PATH).first().refs == "§151.01(a)|Article 1|§151.99|Article 77"
+    assert {r.ref for r in text_queries.j17(spark, PATH).collect()} == {"§151.01(a)", "Article 1", "§151.99", "Article 77"}
+    write = store.write_oof
+    monkeypatch.setattr(store, "write_oof", lambda df, path: (written.append(path), write(df, path)))
+    assert catalog.QUERIES["s17_out_of_fold"](spark, PATH).count() == store.read_oof(spark, written[0]).count() > 0
