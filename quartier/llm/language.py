@@ -30,7 +30,6 @@ from . import io
 
 SAMPLE_ROWS = 64
 SAMPLE_CHARS = 48_000
-LETTERS = 62
 PIECE = 1024
 
 
@@ -117,7 +116,7 @@ class SuffixAutomaton:
 
     def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The states that the codes lead to; 0 is "no such step"."""
-        slot = self.base[state] + codes
+        slot = self.base[state] + codes.astype(np.int32)
         return np.where(self.owner[slot] == state, self.to[slot], 0)
 
 
@@ -139,11 +138,10 @@ class Model:
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
         texts = {lang: np.concatenate(shared([letters(t) for t in samples[lang]], SAMPLE_CHARS)) for lang in self.languages}
-        points, counts = np.unique(np.concatenate([*texts.values(), np.array([32], np.uint32)]), return_counts=True)
-        kept = points[np.argsort(-counts, kind="stable")][:LETTERS]
-        self.code = np.full(0x110000, LETTERS + 1, np.uint8)  # outside the alphabet
+        kept = np.unique(np.concatenate([*texts.values(), np.array([32], np.uint32)]))
+        self.width = len(kept) + 2  # code 0 pads, and the last one is for letters that no sample holds
+        self.code = np.full(0x110000, len(kept) + 1, np.min_scalar_type(self.width))
         self.code[kept] = np.arange(1, len(kept) + 1)
-        self.width = LETTERS + 2  # code 0 pads
         self.automata = [SuffixAutomaton(self.code[texts[lang]], self.width) for lang in self.languages]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +160,7 @@ class Model:
             return counts, n_letters
         order = sorted(range(len(pieces)), key=lambda j: -len(pieces[j]))
         lengths = np.array([len(pieces[j]) for j in order])
-        matrix = np.zeros((int(lengths[0]), len(pieces)), np.uint8)
+        matrix = np.zeros((int(lengths[0]), len(pieces)), self.code.dtype)
         for column, j in enumerate(order):
             matrix[: len(pieces[j]), column] = pieces[j]
         live = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")

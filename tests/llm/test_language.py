@@ -75,3 +75,14 @@ def test_packed_steps_hold_all_substrings():
             assert (state[0] > 0) == (bytes(query[: i + 1].tolist()) in text)
             if not state[0]:
                 break
+
+
+def test_every_sampled_letter_has_its_code():
+    rng = np.random.default_rng(7)
+    common = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 80))
+    samples = {k: [common * 5 + "".join(chr(0x5000 + n + int(c)) for c in rng.integers(0, 150, 400))] for k, n in (("x", 0), ("y", 300))}
+    model = language.Model(samples)
+    texts = [samples["x"][0][-60:-40] + samples["x"][0][-90:-70], samples["y"][0][-50:]]
+    counts, _ = model.phrases(texts)
+    assert [[brute(t, samples[k]) for k in "xy"] for t in texts] == counts.tolist()
+    assert model.predict(texts)[0] == ["x", "y"]
