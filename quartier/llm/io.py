@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text that a task works on at once, and that one Arrow batch brings it.
+CHUNK = 1 << 22
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,14 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent, as in tests on one machine, it is set to a folder in /tmp first.
+    Where the setting is absent, a folder in /tmp stands for it if Spark runs on one machine, as in tests; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file:///tmp/spark-shared-{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -40,3 +46,54 @@ def crc_mod(key: str | Column, n: int) -> Column:
 
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, as ten thousand long texts in one batch are more than a worker should hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * CHUNK))
+
+
+def trim() -> None:
+    """Gives freed memory back: workers are used again by other tasks, and hold what they once took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``size`` bytes of text each, one row at least."""
+    length = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for at, n in enumerate(length.tolist()):
+        if at > start and held + n > size:
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
+def per_text(docs: DataFrame, run: Callable[[list], dict], added: str, setup: Callable | None = None) -> DataFrame:
+    """docs without ``text`` and with the columns that run(texts) gives; all other columns pass through as Arrow has them.
+
+    Ids so never become floats. ``setup`` is called once in each task; what it returns goes to run as a second argument.
+    """
+    small_batches(docs.sparkSession)
+    kept = [c for c in docs.columns if c != "text"]
+    schema = docs.select(*kept).schema
+    for field in docs.sparkSession.createDataFrame([], added).schema.fields:
+        schema = schema.add(field)
+    names = [f.name for f in schema.fields]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (setup(),) if setup else ()
+        for batch in batches:
+            for part in slices(batch):
+                found = run(part.column("text").to_pylist(), *held)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [found[c] for c in names[len(kept) :]], names=names)
+        del held
+        trim()
+
+    return docs.mapInArrow(apply, schema)

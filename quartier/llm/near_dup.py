@@ -3,27 +3,28 @@
 1. A document's set holds the hashes of its distinct n-word shingles, its sketch the ``K`` least of them. Documents
    with equal sets become one node, before anything else.
 2. Inverted lists: of each sketch the rarest retained values are kept, enough that two sketches with the least
-   overlap of a link must share one (values that only one node retains need no list). Within each list the union sketches give
-   estimates of the similarity, and pairs well below the threshold go. A list answers with edges
-   that connect what its pairs connect, not with the pairs. Families are the components of those edges.
-3. In each family all pairs are verified exactly on full sets, rebuilt from whole texts; again edges enough to
-   connect what is linked go on, and their components are the result.
+   overlap of a link must share one (values that only one node retains need no list). Within a list the union sketches give
+   estimates of the similarity, and pairs well below the threshold go; of a list beyond ``BLOCK`` members all stay together. Lists
+   answer with edges that connect what may be linked, and families are the components of those edges.
+3. Families are verified exactly on full sets, rebuilt from whole texts; edges enough to connect what is linked go
+   on, and their components are the result. A family of up to ``BLOCK`` nodes and ``GROUP_BYTES`` is compared in one task.
+   A larger one goes through rounds of representatives (``verified``), in which rows sent grow in proportion to its members.
 
-Lists and families beyond ``BLOCK`` members are cut into blocks, and each pair of blocks is one task; no
-task holds a group, and no pair of texts in a list or family is skipped. The estimate's floor lies 5.5 standard deviations below the threshold.
+No task holds a group beyond these bounds, and no link is lost to them. The estimate's floor lies 5.5 standard deviations below the threshold.
 
 Nulls and edge cases: null texts and texts without words have an empty set and are linked with nothing; texts with fewer
-than n words have one shingle, the whole sequence; rows with a null id belong to groups but never name them; rows that
+than n words have one shingle, the whole sequence; rows with a null id link others but never name a group, and a group of such
+rows alone has a null component_id and no kept row; rows that
 repeat an id are judged by their own texts and share the smallest id reached; an empty table gives an empty
-result; other columns are not read, and the stage keeps them as they are.
+result; other columns are not read. The stage keeps one row of each group, by smallest id, null ids last, and every row with an empty set,
+with all columns as they are (none may be called ``_key``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ from . import bytescan, graph, io
 
 K = 32
 BLOCK = 256
+GROUP_BYTES = 1 << 24
 
 
 def estimate_floor(percent: int) -> float:
@@ -48,44 +50,48 @@ def _set_id(s: np.ndarray) -> int:
     return int(bytescan.mix(total).astype(np.int64)[0])
 
 
+def _row_key() -> Column:
+    """Tells rows apart by id and text, null ids too."""
+    return F.xxhash64("doc_id", "text")
+
+
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sketch): node identifies the set and is null for an empty one."""
+    """(doc_id, key, n_shingles, node, sketch): node identifies the set and is null for an empty one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                s = shingle_set(text, n)
-                out.append((len(s), _set_id(s) if len(s) else None, s[:K].astype(np.int64)))
-            size, node, sketch = zip(*out, strict=True) if out else ((), (), ())
-            node = pd.array(node, dtype="Int64")  # not floats, which would round
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_shingles": size, "node": node, "sketch": sketch})
+    def run(texts: list) -> dict:
+        sets = [shingle_set(t, n) for t in texts]
+        return {
+            "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+            "node": pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64()),
+            "sketch": pa.array([s[:K].view(np.int64) for s in sets], pa.list_(pa.int64())),
+        }
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, node long, sketch array<long>")
+    return io.per_text(docs.select("doc_id", _row_key().alias("key"), "text"), run, "n_shingles long, node long, sketch array<long>")
 
 
-def block_pairs(members: Column, of: str, block: int = BLOCK) -> Column:
-    """The pairs of blocks (i, j) that need a row, with its own block. ``members`` counts the group's rows.
+def _prefixes(values: DataFrame, owner: list[str], group: list[str], take: Column) -> DataFrame:
+    """(owner, value, members, fame): for each owner its rarest values, ``take`` of them, without those that only it has.
 
-    The task of two different blocks only answers with edges between them; what it finds inside one of them, that
-    block's own task answers with.
+    values: rows (owner, value, kept), kept being the owner's number of values. Rarity is that inside the group.
     """
-    blocks = F.ceil(members / block).cast("int")
-    mine = F.pmod(F.xxhash64(of), blocks).cast("int")
-    others = F.sequence(F.lit(0), blocks - 1)
-    return F.transform(others, lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j"), mine.alias("own")))
+    often = values.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = values.join(often, [*group, "value"])
+    mine = Window.partitionBy(*owner)
+    shared = shared.select(
+        "*", F.row_number().over(mine.orderBy("members", "value")).alias("rank"), F.count(F.lit(1)).over(mine).alias("in_lists"), F.sum("members").over(mine).alias("fame")
+    )
+    # the values that no other owner has come first in rarity, and fill places of the prefix
+    return shared.where(F.col("rank") <= take - (F.col("kept") - F.col("in_lists")))
 
 
 def inverted_lists(nodes: DataFrame, floor: float) -> DataFrame:
-    """(value, node, members): the lists in which a node must meet any node that it is linked with."""
+    """(value, node, members, fame): the lists in which a node must meet any node that it is linked with.
+
+    fame sums up over all shared values of the node how many nodes retain them.
+    """
     values = nodes.select("node", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
-    often = values.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = values.join(often, "value")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("members", "value"))
-    in_lists = F.count(F.lit(1)).over(Window.partitionBy("node"))  # at most K rows a node
-    # the values that no other node retains come first in rarity, and fill places of the prefix
-    prefix = F.col("kept") - F.floor(F.col("kept") * floor) + 1 - (F.col("kept") - F.col("in_lists"))
-    return shared.withColumn("rank", rank).withColumn("in_lists", in_lists).where(F.col("rank") <= prefix).select("value", "node", "members")
+    prefix = F.col("kept") - F.floor(F.col("kept") * floor) + 1
+    return _prefixes(values, ["node"], [], prefix).select("value", "node", "members", "fame")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, floor: float) -> np.ndarray:
@@ -103,12 +109,9 @@ def _similar(a: np.ndarray, b: np.ndarray, floor: float) -> np.ndarray:
 
 
 def family_edges(lists: DataFrame, nodes: DataFrame, floor: float, buckets: int) -> DataFrame:
-    """(a, b): edges that connect, list by list, the nodes with similar sketches."""
-    keyed = lists.withColumn("pair", F.explode(block_pairs(F.col("members"), "node")))
-    bucket = F.when(F.col("members") <= BLOCK, F.pmod(F.xxhash64("value"), F.lit(buckets))).otherwise(
-        F.lit(buckets) + F.pmod(F.xxhash64("value", "pair.i", "pair.j"), F.lit(buckets * 64))
-    )
-    rows = keyed.select(bucket.alias("bucket"), "value", "pair.i", "pair.j", "pair.own", "node").join(nodes.select("node", "sketch"), "node")
+    """(a, b): edges that connect the nodes with similar sketches in a list, and all nodes of a list beyond BLOCK with its value."""
+    bucket = F.pmod(F.xxhash64("value"), F.lit(buckets))
+    rows = lists.where(F.col("members") <= BLOCK).select(bucket.alias("bucket"), "value", "node").join(nodes.select("node", "sketch"), "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, position = np.unique(pdf["node"].to_numpy(), return_inverse=True)
@@ -118,33 +121,27 @@ def family_edges(lists: DataFrame, nodes: DataFrame, floor: float, buckets: int)
                 sketch[p, : len(s)] = np.asarray(s, np.int64).view(np.uint64)
         sets = graph.UnionFind(len(ids))
         out = []
-        order = np.lexsort((position, pdf["j"], pdf["i"], pdf["value"]))
-        key = pdf[["value", "i", "j"]].to_numpy()[order]
-        own = pdf["own"].to_numpy()[order]
-        ends = np.append(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(key))
-        pairs, start = [], 0
+        value = pdf["value"].to_numpy()
+        order = np.argsort(value, kind="stable")
+        value = value[order]
+        ends = np.append(np.flatnonzero(value[1:] != value[:-1]) + 1, len(value))
+        pairs, start, waiting = [], 0, 0
 
         def settle() -> None:
             a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-            told = np.concatenate([p[2] for p in pairs])  # by another task
-            both, first = np.unique((a.astype(np.int64) * len(ids) + b) * 2 + ~told, return_index=True)
-            a, b, told = a[first], b[first], told[first]
+            both = np.unique(a.astype(np.int64) * len(ids) + b)
+            a, b = both // len(ids), both % len(ids)
             root = np.array([sets.find(x) for x in range(len(ids))])
             apart = root[a] != root[b]
-            a, b, told = a[apart], b[apart], told[apart]
+            a, b = a[apart], b[apart]
             ok = _similar(sketch[a], sketch[b], floor)
-            for x, y in zip(a[ok & told].tolist(), b[ok & told].tolist(), strict=True):
-                sets.join(x, y)
-            new = ok & ~told
-            out.extend((ids[x], ids[y]) for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True) if sets.join(x, y))
+            out.extend((ids[x], ids[y]) for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True) if sets.join(x, y))
             pairs.clear()
 
-        waiting = 0
         for end in ends:
             members = position[order[start:end]]
             a, b = np.triu_indices(len(members), 1)
-            told = (own[start:end][a] == own[start:end][b]) & (key[start, 1] != key[start, 2])
-            pairs.append((np.minimum(members[a], members[b]), np.maximum(members[a], members[b]), told))
+            pairs.append((np.minimum(members[a], members[b]), np.maximum(members[a], members[b])))
             waiting, start = waiting + len(a), end
             if waiting > 1 << 19:
                 settle()
@@ -153,7 +150,8 @@ def family_edges(lists: DataFrame, nodes: DataFrame, floor: float, buckets: int)
             settle()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("bucket").applyInPandas(run, "a long, b long")
+    hot = lists.where(F.col("members") > BLOCK).select(F.col("node").alias("a"), F.col("value").alias("b"))
+    return rows.groupBy("bucket").applyInPandas(run, "a long, b long").unionByName(hot)
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -173,67 +171,160 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked_edges(families: DataFrame, docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """(a, b): edges that connect, family by family, what exact similarity links.
+def family_sets(families: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(grp, node, rank, settled, size, d) for the families (node, key, grp, rank): each node's full set, from its text."""
+    # both joins shuffle at every size: the keys grow with the documents, and are never broadcast
+    texts = docs.select(_row_key().alias("key"), "text").join(families.select("key").distinct().hint("merge"), "key", "left_semi")
+    rows = families.hint("merge").join(texts.dropDuplicates(["key"]), "key").drop("key")
 
-    families: (node, doc_id, family, members), one document for each node.
-    """
-    keyed = families.withColumn("pair", F.explode(block_pairs(F.col("members"), "node")))
-    bucket = F.when(F.col("members") <= BLOCK, F.pmod(F.xxhash64("family"), F.lit(buckets))).otherwise(
-        F.lit(buckets) + F.pmod(F.xxhash64("family", "pair.i", "pair.j"), F.lit(buckets * 64))
-    )
-    # both joins shuffle at every size: the ids grow with the documents, and are never broadcast
-    texts = docs.select("doc_id", "text").join(families.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    rows = keyed.select(bucket.alias("bucket"), "family", "pair.i", "pair.j", "pair.own", "node", "doc_id").hint("merge").join(texts, "doc_id")
+    def run(texts: list) -> dict:
+        sets = [shingle_set(t, n) for t in texts]
+        return {"size": pa.array([len(s) for s in sets], pa.int64()), "d": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
+
+    return io.per_text(rows.withColumn("settled", F.lit(False)), run, "size long, d array<long>")
+
+
+def _linked(size: np.ndarray, size2: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two sets are linked, from their sizes and the size of their symmetric difference."""
+    return (100 - percent) * (size + size2) >= (100 + percent) * apart
+
+
+def _compared(groups: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(a, b): edges that connect, group by group, what is linked; pairs of settled members are connected elsewhere."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (_, i, j), part in pdf.groupby(["family", "i", "j"]):
-            part = part.assign(set=[shingle_set(t, n) for t in part["text"]])
-            # a repeated id may bring a text of another set
-            part = part[[_set_id(s) == node for s, node in zip(part["set"], part["node"], strict=True)]].drop_duplicates("node")
-            ids, sets = part["node"].to_numpy(), part["set"].tolist()
-            if len(ids) < 2:
-                continue
-            common, size = intersections(sets), np.array([len(s) for s in sets])
+        for _, part in pdf.groupby("grp"):
+            ids, size, settled = part["node"].to_numpy(), part["size"].to_numpy(), part["settled"].to_numpy(bool)
+            sets = [np.asarray(d, np.int64) for d in part["d"]]
+            held = np.array([len(s) for s in sets])
             a, b = np.triu_indices(len(ids), 1)
-            ok = 100 * common[a, b] >= percent * (size[a] + size[b] - common[a, b])
-            a, b, own = a[ok], b[ok], part["own"].to_numpy()
-            told = (own[a] == own[b]) & (i != j)
-            a, b = np.concatenate([a[told], a[~told]]), np.concatenate([b[told], b[~told]])
-            out += [(ids[a[e]], ids[b[e]]) for e in graph.spanning(len(ids), a, b) if e >= told.sum()]
+            open_ = ~(settled[a] & settled[b])
+            a, b = a[open_], b[open_]
+            ok = _linked(size[a], size[b], held[a] + held[b] - 2 * intersections(sets)[a, b], percent)
+            a, b = a[ok], b[ok]
+            out += [(ids[a[e]], ids[b[e]]) for e in graph.spanning(len(ids), a, b)]
+        io.trim()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("bucket").applyInPandas(run, "a long, b long")
+    keyed = groups.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets)))
+    return keyed.select("bucket", "grp", "node", "settled", "size", "d").groupBy("bucket").applyInPandas(run, "a long, b long")
+
+
+def _against(rows: pd.DataFrame, pivots: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Members of a group against its representative: whether they are linked, and the symmetric difference."""
+    out = {"pivot": [], "pivot_size": [], "settled": [], "d": []}
+    if len(pivots) and len(rows):
+        pivot, p_size, p = pivots[["pivot", "pivot_size", "pivot_d"]].iloc[0]
+        p = np.asarray(p, np.int64)
+        for size, d in zip(rows["size"], rows["d"], strict=True):
+            apart = np.setxor1d(np.asarray(d, np.int64), p, assume_unique=True)
+            out["d"].append(apart)
+            out["settled"].append(bool(_linked(size, p_size, len(apart), percent)))
+            out["pivot"].append(pivot)
+            out["pivot_size"].append(p_size)
+    else:
+        rows = rows.iloc[:0]
+    return pd.DataFrame({"grp": rows["grp"], "node": rows["node"], "size": rows["size"], "pivot": out["pivot"], "pivot_size": out["pivot_size"], "settled": out["settled"], "d": pd.Series(out["d"], index=rows.index, dtype=object)})
+
+
+def verified(groups: DataFrame, percent: int) -> list[DataFrame]:
+    """Frames of edges (a, b) that connect what is linked in the groups (grp, node, rank, settled, size, d).
+
+    d stands for the node's set x: it is the set itself, or its symmetric difference with one set that all members of the group share, so the
+    symmetric difference of two members' d is that of their sets. Small groups are compared at once. In a large one the member of
+    least rank is the representative p, and every member is compared with it: those that are linked with p are settled. Let D be
+    d's symmetric difference with p's. If x and y are linked and not both settled, their Ds have an element in common: else
+    |Dx| + |Dy| <= k (|x| + |y|) with k = (100 - percent) / (100 + percent), while an unsettled y has |Dy| > k (|p| + |y|), so that |Dx| < k (|x| - |p|) <= k |Dx|.
+    So each group goes on as inverted lists of D's elements, as many of the rarest as the least overlap asks for, and the lists are the groups of
+    the next round, without those whose members are all settled. What all members share vanishes from D, and so does p.
+    """
+    spark = groups.sparkSession
+    found, k = [], (100 - percent) / (100 + percent)
+    while True:
+        groups = io.written(groups, "groups")
+        of = groups.groupBy("grp").agg(
+            F.count(F.lit(1)).alias("members"), F.sum(F.size("d") * 8).alias("bytes"), F.bool_and("settled").alias("done")
+        ).where("members > 1 AND NOT done")
+        of = of.withColumn("hot", (F.col("members") > BLOCK) | (F.col("bytes") > GROUP_BYTES)).drop("done")
+        of = io.written(of, "group-sizes")
+        small, large = of.where("NOT hot"), of.where("hot")
+        total = of.agg(F.sum(F.when(~F.col("hot"), F.col("bytes") + 100 * F.col("members"))), F.count_if("hot")).first()
+        if total[0]:
+            rows = groups.join(small.select("grp"), "grp", "left_semi")
+            found.append(_compared(rows, percent, max(io.tasks(spark), total[0] >> 23)))
+        if not total[1]:
+            return found
+        parts = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("bytes") / GROUP_BYTES)).cast("int")
+        rows = groups.join(large.select("grp", parts.alias("parts")), "grp")
+        pivot = F.min_by(F.struct("node", "size", "d"), F.struct("rank", "node"))
+        pivots = rows.groupBy("grp", "parts").agg(pivot.alias("p")).select(
+            F.col("grp").alias("in_grp"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("in_part"), F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.d").alias("pivot_d")
+        )
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts", "rank", "settled")
+        out = rows.groupBy("grp", "part").cogroup(pivots.groupBy("in_grp", "in_part")).applyInPandas(
+            lambda left, right: _against(left, right, percent),
+            "grp long, node long, size long, pivot long, pivot_size long, settled boolean, d array<long>",
+        )
+        out = io.written(out, "differences")
+        found.append(out.where("settled AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        # the least overlap of D with that of a member it may be linked with; one of the two is not settled
+        held = F.size("d")
+        near = F.floor((held + k * (F.col("pivot_size") - F.col("size"))) / 2)
+        far = F.floor(held - k * F.col("size") * (1 + 100 / percent))
+        least = F.greatest(F.lit(1), F.when(F.col("settled"), near).otherwise(far))
+        values = out.select("grp", "node", (held - least + 1).alias("take"), held.alias("kept"), F.explode("d").alias("value"))
+        lists = _prefixes(values, ["grp", "node"], ["grp"], F.col("take")).select("grp", "node", F.xxhash64("grp", "value").alias("list"))
+        groups = lists.join(out, ["grp", "node"]).select(F.col("list").alias("grp"), "node", held.cast("long").alias("rank"), "settled", "size", "d")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, node of every row; links have similarity of at least percent / 100."""
+    """doc_id, n_shingles, component_id, kept, key, keeper of every row; links have similarity of at least percent / 100.
+
+    key tells rows apart by id and text, and keeper is the key of the row that stays for the group.
+    """
     spark = docs.sparkSession
     floor = estimate_floor(percent)
     sk = io.written(sketches(docs, n), "sketches")
-    nodes = sk.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
-    nodes = io.written(nodes, "nodes")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    nodes = sk.where("node IS NOT NULL").groupBy("node").agg(F.min(first).alias("first"), F.first("sketch").alias("sketch"))
+    nodes = io.written(nodes.select("node", "first.doc_id", "first.key", "sketch"), "nodes")
     lists = io.written(inverted_lists(nodes, floor), "lists")
     size = lists.agg(F.count(F.lit(1))).first()[0]
-    family = graph.components(family_edges(lists, nodes, floor, max(io.tasks(spark), size // 40_000)))
-    family = family.withColumnRenamed("root", "family")
-    counts = family.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
-    families = io.written(family.join(counts, "family").join(nodes.select("node", "doc_id"), "node"), "families")
-    rows = families.agg(F.count(F.lit(1))).first()[0]
-    links = graph.components(linked_edges(families, docs, n, percent, max(io.tasks(spark), rows // 2_000)))
-    named = links.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = links.join(named, "root").select("node", "component_id")
-    named = nodes.select("node", F.col("doc_id").alias("own")).join(named, "node", "left").select("node", F.coalesce("component_id", "own").alias("component_id"))
-    out = sk.drop("sketch").join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "node")
+    family = graph.components(family_edges(lists, nodes, floor, max(io.tasks(spark), size // 20_000)))
+    fame = lists.groupBy("node").agg((-F.max("fame")).alias("rank"))
+    families = family.select("node", F.col("root").alias("grp")).join(nodes.select("node", "key"), "node").join(fame, "node")
+    families = io.written(families, "families")
+    edges = verified(family_sets(families, docs, n), percent)
+    links = edges[0] if edges else spark.createDataFrame([], "a long, b long")
+    for more in edges[1:]:
+        links = links.unionByName(more)
+    links = graph.components(links)
+    named = links.join(nodes.select("node", "doc_id", "key"), "node").groupBy("root").agg(F.min(first).alias("first"))
+    named = links.join(named, "root").select("node", "first")
+    named = nodes.select("node", F.struct(F.col("doc_id").isNull(), "doc_id", "key").alias("own")).join(named, "node", "left").select("node", F.coalesce("first", "own").alias("first"))
+    out = sk.drop("sketch").join(named, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return out.select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
+        "key", F.coalesce("first.key", "key").alias("keeper"), F.col("node").isNull().alias("empty"),
+    )
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(io.table(spark, sf_dir, "documents"), n=3, percent=85).drop("node")
+    return near_duplicates(io.table(spark, sf_dir, "documents"), n=3, percent=85).drop("key", "keeper", "empty")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group, that with the smallest id: five-word shingles, similarity 0.8 or more."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("merge"), docs.doc_id == F.col("_kept"), "left_semi")
+    found = near_duplicates(docs).where("key = keeper").groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.bool_or("empty").alias("empty"))
+    found = io.written(found.select("key", F.expr("times = 1 OR empty").alias("whole")), "kept")
+    keyed = docs.withColumn("_key", _row_key())
+
+    def held(keys: DataFrame) -> DataFrame:
+        return keyed.join(keys.select(F.col("key").alias("_key")).hint("merge"), "_key", "left_semi")
+
+    kept = held(found.where("whole"))
+    if not found.where("NOT whole").isEmpty():  # rows that repeat id and text
+        kept = kept.unionByName(held(found.where("NOT whole")).dropDuplicates(["_key"]))
+    return kept.select(*docs.columns)

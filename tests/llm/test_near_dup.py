@@ -50,13 +50,35 @@ def test_components_equal_brute_force(spark):
         assert {r.doc_id for r in near_dup.stage(spark, docs, "").collect()} >= {r.doc_id for r in got if r.kept} if n == 5 else True
 
 
-def test_blocks_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK", 4)
-    monkeypatch.setattr(near_dup.block_pairs, "__defaults__", (4,))
-    rows = corpus(random.Random(5), 3, 30)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = near_dup.near_duplicates(docs, 3, 85).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 3, 85))
+def test_representatives_lose_nothing(spark, monkeypatch):
+    """Lists and families beyond these bounds go through rounds of representatives."""
+    for seed, block, group_bytes in ((5, 4, 1 << 24), (6, 2, 1 << 24), (7, 256, 4096)):
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        monkeypatch.setattr(near_dup, "GROUP_BYTES", group_bytes)
+        rows = corpus(random.Random(seed), 3, 30)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = near_dup.near_duplicates(docs, 3, 85).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 3, 85))
+
+
+def test_null_ids_link_others(spark):
+    """The middle one of three texts has no id, and the outer two are linked through it alone."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words[i : i + 90]) for i in (0, 4, 8)]
+    for big in (2, 2**60 + 1):  # ids are not rounded
+        docs = spark.createDataFrame([(big, texts[0]), (None, texts[1]), (big + 2, texts[2])], "doc_id long, text string")
+        got = sorted(near_dup.near_duplicates(docs, 3, 85).collect(), key=lambda r: r.doc_id or 0)
+        assert [(r.doc_id, r.component_id, r.kept) for r in got] == [(None, big, False), (big, big, True), (big + 2, big, False)]
+        assert [r.doc_id for r in near_dup.stage(spark, docs, "").collect()] == [big]
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text), (None, text), (3, "a b c d e f"), (3, "a b c d e f"), (None, None), (None, None), (4, "z"), (5, "y y y y y y"), (6, "y y y y y y")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, node int")
+    got = near_dup.stage(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted([("None", text), ("3", "a b c d e f"), ("None", "None"), ("None", "None"), ("4", "z"), ("5", "y y y y y y")])
+    assert got[0].__fields__ == docs.columns
 
 
 def test_components_of_a_chain_and_a_star(spark):
