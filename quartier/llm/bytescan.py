@@ -6,8 +6,13 @@ on a batch of joined documents, at a time.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
+#: Longer words are hashed by themselves: polynomials modulo 2**64 are no good for them, and need powers as long as the text.
+LONG = 256
+SEGMENT = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -53,6 +58,25 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(np.uint64))
 
 
+def hash_spans(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [start, end) of bytes or code points, in order of start and apart; equal for equal content."""
+    out = np.zeros(len(start), np.uint64)
+    short = np.flatnonzero(end - start <= LONG)
+    cut = np.flatnonzero(np.diff(start[short] // SEGMENT, prepend=-1))
+    for a, b in zip(cut, np.append(cut[1:], len(short)), strict=False):
+        mine = short[a:b]
+        low, high = start[mine[0]], end[mine[-1]]
+        part = codes[low:high]
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        value = _BYTE[part] if part.dtype == np.uint8 else mix(part.astype(np.uint64) + np.uint64(1))
+        np.cumsum(value * powers(len(part))[0][: len(part)], out=prefix[1:])
+        out[mine] = span_hash(prefix, start[mine] - low, end[mine] - low)
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        digest = hashlib.blake2b(codes[start[i] : end[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """One 64-bit hash for each word ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, in order."""
     if not text:
@@ -60,7 +84,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     b = _LOWER[np.frombuffer(text, np.uint8)]
     solid = ~_SPACE[b]
     edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
-    return span_hash(prefix_hash(b), edge[::2], edge[1::2])
+    return hash_spans(b, edge[::2], edge[1::2])
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:

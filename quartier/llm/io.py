@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a task works on at once, and that one Arrow batch brings it.
 CHUNK = 1 << 22
@@ -75,22 +76,23 @@ def slices(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK) -> Iter
         yield batch.slice(start)
 
 
-def per_text(docs: DataFrame, run: Callable[[list], dict], added: str, setup: Callable | None = None) -> DataFrame:
-    """docs without ``text`` and with the columns that run(texts) gives; all other columns pass through as Arrow has them.
+def per_text(docs: DataFrame, run: Callable[..., dict], added: str, setup: Callable | None = None, size: int = CHUNK, keep_text: bool = False) -> DataFrame:
+    """docs with the columns that run(texts) gives, and without ``text`` unless it is kept; all other columns pass through as Arrow has them,
+    but for those that an added column replaces.
 
     Ids so never become floats. ``setup`` is called once in each task; what it returns goes to run as a second argument.
     """
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c != "text"]
-    schema = docs.select(*kept).schema
-    for field in docs.sparkSession.createDataFrame([], added).schema.fields:
-        schema = schema.add(field)
+    new = T.StructType.fromDDL(added).fields
+    docs = docs.drop(*[f.name for f in new])
+    kept = [c for c in docs.columns if c != "text" or keep_text]
+    schema = T.StructType([*docs.select(*kept).schema.fields, *new])
     names = [f.name for f in schema.fields]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (setup(),) if setup else ()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=size):
                 found = run(part.column("text").to_pylist(), *held)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [found[c] for c in names[len(kept) :]], names=names)
         del held

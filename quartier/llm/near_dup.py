@@ -33,6 +33,8 @@ from . import bytescan, graph, io
 K = 32
 BLOCK = 256
 GROUP_BYTES = 1 << 24
+#: Most copies of a member that tiles of unsettled members against all may take; groups that need more go on as lists.
+MOST_TILES = 64
 
 
 def estimate_floor(percent: int) -> float:
@@ -154,20 +156,21 @@ def family_edges(lists: DataFrame, nodes: DataFrame, floor: float, buckets: int)
     return rows.groupBy("bucket").applyInPandas(run, "a long, b long").unionByName(hot)
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, from products of membership matrices over slices of the values."""
-    values = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    distinct, column = np.unique(values, return_inverse=True)
-    out = np.zeros((len(sets), len(sets)), np.int64)
-    width = max(64, (1 << 22) // len(sets))
+def intersections(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of all sets with all others (or each other), from products of membership matrices over slices of the values."""
+    both = sets + (others or [])
+    n = len(sets)
+    distinct, column = np.unique(np.concatenate(both), return_inverse=True)
+    owner = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    out = np.zeros((n, len(both) - n if others is not None else n), np.int64)
+    width = max(64, (1 << 22) // len(both))
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     for low in range(0, len(distinct), width):
         a, b = np.searchsorted(column, [low, low + width])
-        member = np.zeros((len(sets), min(width, len(distinct) - low)), np.float32)
+        member = np.zeros((len(both), min(width, len(distinct) - low)), np.float32)
         member[owner[a:b], column[a:b] - low] = 1
-        out += (member @ member.T).astype(np.int64)
+        out += (member[:n] @ (member[n:] if others is not None else member).T).astype(np.int64)
     return out
 
 
@@ -228,16 +231,43 @@ def _against(rows: pd.DataFrame, pivots: pd.DataFrame, percent: int) -> pd.DataF
     return pd.DataFrame({"grp": rows["grp"], "node": rows["node"], "size": rows["size"], "pivot": out["pivot"], "pivot_size": out["pivot_size"], "settled": out["settled"], "d": pd.Series(out["d"], index=rows.index, dtype=object)})
 
 
+def _tiled(groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that connect the unsettled members (mine) of each tile with the tile's other members; those settled are connected elsewhere."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, size, settled, mine = pdf["node"].to_numpy(), pdf["size"].to_numpy(), pdf["settled"].to_numpy(bool), pdf["mine"].to_numpy(bool)
+        sets = [np.asarray(d, np.int64) for d in pdf["d"]]
+        held = np.array([len(s) for s in sets])
+        join, out = graph.UnionFind(len(ids)), []
+        known = np.flatnonzero(settled)
+        for x in known[1:].tolist():
+            join.join(int(known[0]), x)
+        a, others = np.flatnonzero(mine), np.flatnonzero(~mine)
+        for at in range(0, len(others), 4 * BLOCK):
+            b = others[at : at + 4 * BLOCK]
+            if len(a):
+                apart = held[a][:, None] + held[b] - 2 * intersections([sets[i] for i in a], [sets[i] for i in b])
+                x, y = np.nonzero(_linked(size[a][:, None], size[b], apart, percent))
+                out += [(ids[i], ids[j]) for i, j in zip(a[x].tolist(), b[y].tolist(), strict=True) if ids[i] != ids[j] and join.join(i, j)]
+        io.trim()
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return groups.groupBy("grp", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def verified(groups: DataFrame, percent: int) -> list[DataFrame]:
     """Frames of edges (a, b) that connect what is linked in the groups (grp, node, rank, settled, size, d).
 
     d stands for the node's set x: it is the set itself, or its symmetric difference with one set that all members of the group share, so the
     symmetric difference of two members' d is that of their sets. Small groups are compared at once. In a large one the member of
-    least rank is the representative p, and every member is compared with it: those that are linked with p are settled. Let D be
-    d's symmetric difference with p's. If x and y are linked and not both settled, their Ds have an element in common: else
-    |Dx| + |Dy| <= k (|x| + |y|) with k = (100 - percent) / (100 + percent), while an unsettled y has |Dy| > k (|p| + |y|), so that |Dx| < k (|x| - |p|) <= k |Dx|.
-    So each group goes on as inverted lists of D's elements, as many of the rarest as the least overlap asks for, and the lists are the groups of
-    the next round, without those whose members are all settled. What all members share vanishes from D, and so does p.
+    least rank is the representative p, and every member is compared with it: those that are linked with p are settled, and need no more comparing
+    with each other. Let D be d's symmetric difference with p's. Then
+
+    * where the unsettled members are few enough for ``MOST_TILES`` blocks, each block of them is compared with each block of members by their Ds;
+    * else the group goes on as inverted lists of D's elements, as many of the rarest as the least overlap asks for, which are the groups of
+      the next round, without those whose members are all settled. If x and y are linked and not both settled, their Ds have an element in common: else
+      |Dx| + |Dy| <= k (|x| + |y|) with k = (100 - percent) / (100 + percent), while an unsettled y has |Dy| > k (|p| + |y|), so that
+      |Dx| < k (|x| - |p|) <= k |Dx|. What all members share vanishes from D, and so does p.
     """
     spark = groups.sparkSession
     found, k = [], (100 - percent) / (100 + percent)
@@ -259,7 +289,8 @@ def verified(groups: DataFrame, percent: int) -> list[DataFrame]:
         rows = groups.join(large.select("grp", parts.alias("parts")), "grp")
         pivot = F.min_by(F.struct("node", "size", "d"), F.struct("rank", "node"))
         pivots = rows.groupBy("grp", "parts").agg(pivot.alias("p")).select(
-            F.col("grp").alias("in_grp"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("in_part"), F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.d").alias("pivot_d")
+            F.col("grp").alias("in_grp"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("in_part"),
+            F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.d").alias("pivot_d"),
         )
         rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts", "rank", "settled")
         out = rows.groupBy("grp", "part").cogroup(pivots.groupBy("in_grp", "in_part")).applyInPandas(
@@ -268,12 +299,24 @@ def verified(groups: DataFrame, percent: int) -> list[DataFrame]:
         )
         out = io.written(out, "differences")
         found.append(out.where("settled AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        # the least overlap of D with that of a member it may be linked with; one of the two is not settled
         held = F.size("d")
+        of = out.groupBy("grp").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(held * 8).alias("bytes"), F.count_if(~F.col("settled")).alias("open"), F.sum(F.when(~F.col("settled"), held * 8)).alias("open_bytes")
+        ).where("open > 0")
+        blocks = F.greatest(F.ceil(F.col("open") / BLOCK), F.ceil(F.col("open_bytes") / GROUP_BYTES)).cast("int")
+        across = F.greatest(F.ceil(F.col("n") / (16 * BLOCK)), F.ceil(F.col("bytes") / GROUP_BYTES)).cast("int")
+        of = io.written(of.select("grp", blocks.alias("blocks"), across.alias("across")), "tile-sizes")
+        tiled = out.drop("pivot", "pivot_size").join(of.where(F.col("blocks") <= MOST_TILES), "grp")
+        block, column = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("across")).cast("int")
+        mine = tiled.where("NOT settled").withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
+        rest = tiled.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("j", column)
+        found.append(_tiled(mine.withColumn("mine", F.lit(True)).unionByName(rest.withColumn("mine", F.lit(False))).drop("blocks", "across"), percent))
+        # the least overlap of D with that of a member it may be linked with; one of the two is not settled
         near = F.floor((held + k * (F.col("pivot_size") - F.col("size"))) / 2)
         far = F.floor(held - k * F.col("size") * (1 + 100 / percent))
         least = F.greatest(F.lit(1), F.when(F.col("settled"), near).otherwise(far))
-        values = out.select("grp", "node", (held - least + 1).alias("take"), held.alias("kept"), F.explode("d").alias("value"))
+        listed = out.join(of.where(F.col("blocks") > MOST_TILES).select("grp"), "grp", "left_semi")
+        values = listed.select("grp", "node", (held - least + 1).alias("take"), held.alias("kept"), F.explode("d").alias("value"))
         lists = _prefixes(values, ["grp", "node"], ["grp"], F.col("take")).select("grp", "node", F.xxhash64("grp", "value").alias("list"))
         groups = lists.join(out, ["grp", "node"]).select(F.col("list").alias("grp"), "node", held.cast("long").alias("rank"), "settled", "size", "d")
 

@@ -52,7 +52,8 @@ def test_components_equal_brute_force(spark):
 
 def test_representatives_lose_nothing(spark, monkeypatch):
     """Lists and families beyond these bounds go through rounds of representatives."""
-    for seed, block, group_bytes in ((5, 4, 1 << 24), (6, 2, 1 << 24), (7, 256, 4096)):
+    for seed, block, group_bytes, tiles in ((5, 4, 1 << 24, 64), (6, 2, 1 << 24, 0), (7, 256, 4096, 64), (8, 256, 4096, 1)):
+        monkeypatch.setattr(near_dup, "MOST_TILES", tiles)
         monkeypatch.setattr(near_dup, "BLOCK", block)
         monkeypatch.setattr(near_dup, "GROUP_BYTES", group_bytes)
         rows = corpus(random.Random(seed), 3, 30)
@@ -100,6 +101,7 @@ def test_intersections():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 50, n)).astype(np.uint64) for n in (1, 5, 30, 60)]
     assert near_dup.intersections(sets).tolist() == [[len(set(a) & set(b)) for b in sets] for a in sets]
+    assert near_dup.intersections(sets[:1], sets[1:]).tolist() == [[len(set(a) & set(b)) for b in sets[1:]] for a in sets[:1]]
 
 
 def test_small_documents_table(spark):
