@@ -7,11 +7,13 @@ unit; its shorter excerpts are found where they are verbatim, and do not count a
 q-grams with the unit, on diagonals that lie within e of each other. So shared q-grams are counted in overlapping bands of
 diagonals, bands that meet the bound are kept, and those are aligned within the band.
 
+An item of fewer than ``SHORTEST`` characters after the reduction is held where it stands verbatim, from the beginning of a word to the end of one.
+
 The items are handled in blocks of ``BLOCK_CHARS`` characters; a block's index is what each task receives, and
-each block is compared with all documents. Documents are never shuffled.
+each block is compared with all documents, one block after the other. Documents are never shuffled. Items with equal texts are one in the index.
 
-Nulls and edge cases: null and empty texts hold nothing; items of fewer than ``SHORTEST`` characters after the
-reduction are left out, as ordinary text would match them; rows that are repeated are each reported; long texts are
+Nulls and edge cases: null and empty texts hold nothing, and an item without letters or digits is held by nothing; null ids on either side stay null;
+rows that are repeated are each reported; long texts are
 searched whole; an empty table on either side gives an empty result; columns beyond id and text are not read.
 """
 
@@ -21,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import io
+from . import bytescan, io
 
 Q = 8
 UNIT = 120
@@ -173,16 +176,42 @@ def _spans(length: int, size: int, stride: int) -> list[tuple[int, int]]:
 
 
 class Finder:
-    """Indexes by length class, so that short items don't lower the bound of long ones."""
-
-    def __init__(self, items: list[tuple[int, str]]):
+    """Indexes by length class, so that short items don't lower the bound of long ones. Items are known by their place in the list."""
+
+    def __init__(self, items: list[tuple[int | None, str]], short: bool = True):
+        self.ids = pa.array([i for i, _ in items], pa.int64())
+        alike: dict[str, list[int]] = {}
+        for number, (_, text) in enumerate(items):
+            alike.setdefault(text, []).append(number)
+        self.alike = list(alike.values())
         classes: dict[int, list] = {}
-        for item, text in items:
-            for unit in units_of(item, text):
+        by_words: dict[int, dict[int, list]] = {}
+        for number, text in enumerate(alike):
+            for unit in units_of(number, text):
                 classes.setdefault(len(unit[1]).bit_length(), []).append(unit)
+            points = _item(text)
+            if short and 0 < len(points) < SHORTEST:
+                by_words.setdefault(int((points == 32).sum()) + 1, {}).setdefault(len(points), []).append((number, points))
         self.indexes = [Index(units) for units in classes.values()]
-        excerpts = [unit for item, text in items for unit in excerpts_of(item, text)]
+        excerpts = [unit for number, text in enumerate(alike) for unit in excerpts_of(number, text)]
         self.excerpts = [Index(excerpts)] if excerpts else []
+        self.short = by_words  # by numbers of words and characters
+
+    def _short(self, joined: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(position in texts, item) of the short items."""
+        edge = np.flatnonzero(np.diff((joined != 32) & (joined != 0), prepend=False, append=False)) if self.short else np.zeros(0, np.int64)
+        for n_words, lengths in self.short.items():
+            begin, end = edge[::2][: max(0, len(edge) // 2 - n_words + 1)], edge[1::2][n_words - 1 :]
+            for length, items in lengths.items():
+                at = begin[end - begin == length]
+                if not len(at):
+                    continue
+                hashes = bytescan.hash_spans(joined, at, at + length)
+                for number, points in items:
+                    mine = bytescan.hash_spans(points, np.array([0]), np.array([length]))[0]
+                    for place in at[hashes == mine].tolist():
+                        if (joined[place : place + length] == points).all():
+                            yield int(np.searchsorted(starts, place, side="right")) - 1, number
 
     def find(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(position in texts, item, fewest edits, units held), from one scan over all texts joined."""
@@ -215,7 +244,9 @@ class Finder:
                 n, _ = align(unit, span, 0, diagonal + 2 * width + edits - low)
                 if n <= edits:
                     held[key] = min(n, held.get(key, n))
-        return [(doc, item, min(held.values(), default=0), len(held)) for (doc, item), held in sorted(found.items()) if held or (doc, item) in verbatim]
+        rows = [(doc, item, min(held.values(), default=0), len(held)) for (doc, item), held in found.items() if held or (doc, item) in verbatim]
+        rows += [(doc, item, 0, 1) for doc, item in set(self._short(joined, starts))]
+        return sorted((doc, same, edits, units) for doc, item, edits, units in rows for same in self.alike[item])
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -226,51 +257,66 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).collect()]
 
 
-def _groups(pdf: pd.DataFrame, size: int = 1 << 21) -> Iterator[pd.DataFrame]:
-    cuts = (pdf["text"].str.len().fillna(0).cumsum() // size).to_numpy()
-    for cut in np.unique(cuts):
-        yield pdf[cuts == cut]
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, edits, n_units): which document holds which benchmark item, by how many of its units (0: by a verbatim excerpt only)."""
+    """(doc_id, item_id, edits, n_units): which document holds which benchmark item, by how many of its units (0: by a verbatim excerpt only).
+
+    More than one block of items are searched for one after the other, and each block's rows are written before the next one is sent out.
+    """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
-    found = None
+    io.small_batches(spark)
+    names = ["doc_id", "item_id", "edits", "n_units"]
+    frames: list[DataFrame] = []
     for items in _blocks(benchmark):
-        finder = spark.sparkContext.broadcast(Finder(items))
-
-        def run(batches: Iterator[pd.DataFrame], finder=finder) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for part in _groups(pdf):
-                    out = pd.DataFrame(finder.value.find(part["text"].fillna("").tolist()), columns=["doc_id", "item_id", "edits", "n_units"])
-                    if len(out):
-                        yield out.assign(doc_id=part["doc_id"].to_numpy()[out["doc_id"]])
-
-        block = rows.mapInPandas(run, "doc_id long, item_id long, edits int, n_units int")
-        found = block if found is None else found.unionByName(block)
+        finder = spark.sparkContext.broadcast(Finder(items))  # BLOCK_CHARS characters
+
+        def run(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in io.slices(batch, size=1 << 21):
+                    found = finder.value.find([t or "" for t in part.column("text").to_pylist()])
+                    doc, item, edits, units = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [], [])
+                    columns = [part.column("doc_id").take(pa.array(doc, pa.int64())), finder.value.ids.take(pa.array(item, pa.int64())), pa.array(edits, pa.int32()), pa.array(units, pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+            io.trim()
+
+        if frames:
+            frames[-1] = io.written(frames[-1], "contaminated")
+        frames.append(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, edits int, n_units int"))
+    found = frames[0]
+    for more in frames[1:]:
+        found = found.unionByName(more)
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, all columns as they were."""
-    for items in _blocks(benchmark):
-        finder = docs.sparkSession.sparkContext.broadcast(Finder(items))
-
-        @F.pandas_udf("boolean")
-        def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for texts in batches:
-                out = np.zeros(len(texts), bool)
-                pdf = pd.DataFrame({"text": texts.fillna(""), "at": np.arange(len(texts))})
-                for part in _groups(pdf):
-                    hit = [doc for doc, *_ in finder.value.find(part["text"].tolist())]
-                    out[part["at"].to_numpy()[hit]] = True
-                yield pd.Series(out)
-
-        docs = docs.where(~holds("text"))
+def clean(docs: DataFrame, benchmark: DataFrame, short: bool = False) -> DataFrame:
+    """The documents that hold no benchmark item, all columns as they were; what one block of items leaves is written before the next.
+
+    Unless ``short`` is set, items of fewer than SHORTEST characters are not counted, as ordinary text has their few words too.
+    """
+    io.small_batches(docs.sparkSession)
+    for number, items in enumerate(_blocks(benchmark)):
+        if number:
+            docs = io.written(docs, "clean")
+        finder = docs.sparkSession.sparkContext.broadcast(Finder(items, short))  # BLOCK_CHARS characters
+        docs = docs.where(~_holds(finder)("text"))
     return docs
 
 
+def _holds(finder):  # a broadcast Finder
+    @F.pandas_udf("boolean")
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = np.zeros(len(texts), bool)
+            cuts = (texts.str.len().fillna(0).cumsum() // (1 << 21)).to_numpy()
+            for cut in np.unique(cuts):
+                mine = np.flatnonzero(cuts == cut)
+                hit = [doc for doc, *_ in finder.value.find(texts.iloc[mine].fillna("").tolist())]
+                out[mine[hit]] = True
+            yield pd.Series(out)
+        io.trim()
+
+    return holds
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(io.table(spark, sf_dir, "documents"), io.table(spark, sf_dir, "benchmark"))
 

@@ -53,15 +53,27 @@ def test_frames(spark):
     item = "the quick brown fox jumps over the lazy dog and runs into the deep dark forest"
     rows = [(1, f"start. {item.title()}! end", "x"), (2, None, "x"), (3, "", "x"), (4, "nothing of the kind " * 50, "x"), (1, item, "y"), (5, "pad " * 20000 + item, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
-    bench = spark.createDataFrame([(9, item), (8, None), (7, "of the")], "item_id long, text string")
+    bench = spark.createDataFrame([(9, item), (8, None), (7, "of the"), (6, "?!"), (6, "othing of")], "item_id long, text string")
     got = sorted(tuple(r) for r in d.contaminated(docs, bench).collect())
-    assert got == [(1, 9, 0, 1), (1, 9, 0, 1), (5, 9, 0, 1)]
+    assert got == [(1, 9, 0, 1), (1, 9, 0, 1), (4, 7, 0, 1), (5, 9, 0, 1)]
+    assert sorted(r.doc_id for r in d.clean(docs, bench, short=True).collect()) == [2, 3]
     kept = d.clean(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
     assert d.contaminated(docs, bench.limit(0)).count() == 0 and d.clean(docs, bench.limit(0)).count() == 6
     assert d.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_null_ids_repeated_items_and_blocks(spark, monkeypatch):
+    item = "the quick brown fox jumps over the lazy dog and runs into the deep dark forest"
+    docs = spark.createDataFrame([(None, item), (2**60 + 1, item), (3, "nothing")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(None, item), (2**60 + 3, item), (4, "nothing")], "item_id long, text string")
+    want = {(doc, i, 0, 1) for doc in (None, 2**60 + 1) for i in (None, 2**60 + 3)} | {(3, 4, 0, 1)}
+    for size in (4_000_000, 30):
+        monkeypatch.setattr(d, "BLOCK_CHARS", size)
+        assert {tuple(r) for r in d.contaminated(docs, bench).collect()} == want
+        assert [r.doc_id for r in d.clean(docs, bench).collect()] == [3]
+
+
 def test_planted_passages(spark):
     path = "/root/testdata/sf0.01"
     docs, bench = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "benchmark"))

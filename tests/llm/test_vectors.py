@@ -25,8 +25,8 @@ def test_equal_to_brute_force(spark):
     rows += [(2000, None), (2001, [1.0, None] * 4), (2002, [float("nan")] * 8), (2050, [float("inf")] * 8), (2100, [0.5, 0.25]), (2150, [0.0] * 8), (2051, [0.1, 0.2]), (None, [1.0] * 8), (50, rows[50][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     v = vectors.quantised(df)
-    for block in (8192, 3):
-        got = vectors.top_k(v.where("vec_id % 50 = 0"), v, 5, block).collect()
+    for part, block in ((8192, 8192), (70, 3)):
+        got = vectors.top_k(v.where("vec_id % 50 = 0"), v, 5, part, block).collect()
         assert sorted(map(tuple, got)) == brute(rows, 5, lambda x: x % 50 == 0)
     few = vectors.quantised(df.where("vec_id IN (50, 51, 100)"))
     assert few.count() >= 3 and vectors.top_k(few.where("vec_id = 50"), few).count() == 2
@@ -38,10 +38,20 @@ def test_bounds_hold():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    a, q = rng.integers(-300, 300, (50, 16)), rng.integers(-300, 300, (7, 16))
-    low, high = vectors.Approximation(a).bounds(q)
-    exact = q @ a.T
-    assert (low <= exact).all() and (exact <= high).all()
+    for scale in (1, 300, 1e9):
+        a, q = np.floor(rng.normal(0, scale, (50, 16))), np.floor(rng.normal(0, scale, (7, 16)))
+        a[3], a[4, 0] = 5, 1e12
+        low, high = vectors.bounds(vectors.cells(a), q)
+        exact = np.array([[sum(int(x) * int(y) for x, y in zip(v, w, strict=True)) for v in a] for w in q], float)
+        assert (low <= exact).all() and (exact <= high).all()
+
+
+def test_large_components_empty_vectors_and_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0]), (1, [4e13, 1.0]), (2, [1.0, 1.0]), (50, []), (51, []), (100, [3.0]), (101, [2.0]), (101, [1.0]), (102, [1e308])]
+    v = vectors.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted(map(tuple, vectors.top_k(v.where("vec_id % 50 = 0"), v).collect()))
+    big = math.floor(256 * 4e13)
+    assert got == [(0, 1, 1, 256 * big + 512 * 256), (0, 2, 2, 256 * 256 + 512 * 256), (50, 1, 51, 0), (100, 1, 101, 768 * 256)]
 
 
 def test_query_equals_sql(spark):
