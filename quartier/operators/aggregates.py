@@ -77,14 +77,34 @@ def merge_reports(*reports: DataFrame) -> DataFrame:
 def decile_thresholds(df: DataFrame, score: str, scope: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """(scope, thresholds): P10 to P100 with linear interpolation, 0.1 to 1.0 where there are no scores.
 
-    ``exact`` counts distinct scores; without it a sketch of fixed size answers.
+    ``exact`` counts distinct scores, over all rows by running counts; without it a sketch of fixed size answers.
     """
     tenths = [i / 10 for i in range(1, 11)]
-    pick = F.percentile(score, F.array(*[F.lit(t) for t in tenths])) if exact else F.approx_percentile(score, tenths, F.lit(100_000))
-    out = df.groupBy(*scope).agg(pick.alias("thresholds")) if scope else df.agg(pick.alias("thresholds"))
+    if exact and not scope:
+        out = exact_quantiles(df, score, tenths, "thresholds")
+    else:
+        pick = F.percentile(score, F.array(*[F.lit(t) for t in tenths])) if exact else F.approx_percentile(score, tenths, F.lit(100_000))
+        out = df.groupBy(*scope).agg(pick.alias("thresholds"))
     return out.withColumn("thresholds", F.coalesce("thresholds", F.array(*[F.lit(t) for t in tenths])))
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], out: str = "quantiles") -> DataFrame:
+    """One row with the column's exact quantiles, linearly interpolated; null without values.
+
+    Running counts of distinct values say which of them hold the places that are asked for, so that no task takes all values.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    s = running_sum(counts, "_v", "_n", "_upto").crossJoin(F.broadcast(total))  # one row
+    at = [F.lit(q) * (F.col("_all") - 1) for q in shares]
+    places = F.array_distinct(F.array(*[f(h).cast("long") for h in at for f in (F.floor, F.ceil)]))
+    held = s.withColumn("_i", F.explode(F.filter(places, lambda i: (i < F.col("_upto")) & (i >= F.col("_upto") - F.col("_n")))))
+    one = held.agg(F.map_from_entries(F.collect_list(F.struct("_i", F.col("_v").cast("double")))).alias("_m"), F.first("_all").alias("_all"))  # two places a share at most
+    value = lambda h, f: F.try_element_at("_m", f(h).cast("long"))
+    picked = F.array(*[value(h, F.floor) + (value(h, F.ceil) - value(h, F.floor)) * (h - F.floor(h)) for h in at])
+    return one.select(F.when(F.col("_all").isNotNull(), picked).alias(out))
+
+
 def assign_decile(df: DataFrame, score: str, thresholds: DataFrame, rule: str = "ceil", scope: Sequence[str] = (), out: str = "decile") -> DataFrame:
     """Deciles 1 to 10: "floor" counts the thresholds that the score reaches, at least 1; "ceil" takes the first threshold that reaches the score."""
     joined = df.join(thresholds, list(scope)) if scope else df.crossJoin(F.broadcast(thresholds))  # one row
@@ -113,21 +133,23 @@ def average_ranks(df: DataFrame, column: str, key: str) -> DataFrame:
     return df.select(key, column).join(ranked.select(column, "_rank"), column).select(key, F.col("_rank").alias(column))
 
 
-def running_sum(df: DataFrame, order: str, value: str, out: str, by: Sequence[str] = (), descending: bool = False, parts: int = 64) -> DataFrame:
-    """Adds the sum of ``value`` up to each row in the order of a distinct numeric column.
+def running_sum(df: DataFrame, order: str, value: str | Sequence[str], out: str | Sequence[str], by: Sequence[str] = (), descending: bool = False, parts: int = 64) -> DataFrame:
+    """Adds the sum of ``value`` up to each row in the order of a distinct numeric column; or those of several columns.
 
     The values' range is cut into ``parts``; rows add up inside a part, and the parts' totals, a table of at most ``parts`` rows a group,
     add up over parts, so that no task takes all rows.
     """
+    values, outs = ([value], [out]) if isinstance(value, str) else (list(value), list(out))
     cuts = df.agg(F.approx_percentile(F.col(order).cast("double"), [i / parts for i in range(1, parts)], F.lit(1000)).alias("_cuts"))
     rows = df.crossJoin(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")  # one row
     way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    totals = rows.groupBy(*by, "_part").agg(F.sum(value).alias("_sum"))
+    totals = rows.groupBy(*by, "_part").agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
     before = Window.partitionBy(*by).orderBy(way("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    starts = totals.select(*by, "_part", *[F.coalesce(F.sum(f"_sum_{v}").over(before), F.lit(0)).alias(f"_start_{v}") for v in values])
     inside = Window.partitionBy(*by, "_part").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.withColumn(out, F.sum(value).over(inside)).join(starts, [*by, "_part"])
-    return joined.withColumn(out, F.col(out) + F.col("_start")).drop("_part", "_start")
+    joined = rows.withColumns({o: F.sum(v).over(inside) for v, o in zip(values, outs, strict=True)}).join(starts, [*by, "_part"])
+    joined = joined.withColumns({o: F.col(o) + F.col(f"_start_{v}") for v, o in zip(values, outs, strict=True)})
+    return joined.drop("_part", *[f"_start_{v}" for v in values])
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str], key: str) -> DataFrame:

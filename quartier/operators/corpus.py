@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -17,37 +16,46 @@ from ..sources.store import upsert
 #: Fixed patterns: a section mark at the start of a line, and a paragraph mark such as (a), (1) or (iv).
 SECTION_MARK = r"^(§\s*\d+[.\-]\d+[\w.]*)"
 PARAGRAPH_MARK = r"^\s*\(([a-z]|\d+|i{1,3}v?|vi{0,3})\)\s+"
-SECTION_SCHEMA = "doc_id string, position int, citation string, parent_citation string, title string, content string, depth int, has_children boolean"
+
+
+#: Lines end with a line feed only, and letters, digits and space are those of Unicode.
+FLAGS = "(?mdU)"
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+def _after(text: Column, pattern: str) -> Column:
+    """What stands between the matches of a pattern, from the first one on."""
+    pieces = F.split(text, pattern, -1)
+    return F.slice(pieces, 2, F.size(pieces))
 
 
 def split_sections(docs: DataFrame, text: str = "text", doc: str = "doc_id", marker: str = SECTION_MARK, whole: str = "§(full)") -> DataFrame:
     """Sections of each text, in order, each followed by its paragraphs; a text without a mark is one section.
 
-    A title is what follows the mark on its own line, up to 120 characters.
+    A title is the rest of the first line that has one after the mark, up to 120 characters; the mark's own line may be blank. Null texts give no rows.
     """
-    section, paragraph = re.compile(marker, re.MULTILINE), re.compile(PARAGRAPH_MARK, re.MULTILINE)
-
-    def split(text: str) -> Iterator[tuple]:
-        marks = list(section.finditer(text))
-        if not marks:
-            yield whole, None, "", text.strip(), 0, False
-        for m, end in zip(marks, [*[n.start() for n in marks[1:]], len(text)], strict=False):
-            citation = re.sub(r"\s+", "", m.group(1))
-            line = text[m.end() : end].split("\n", 1)[0]
-            title = line[:120]
-            body = text[m.end() + len(title) : end].strip()
-            parts = list(paragraph.finditer(body))
-            yield citation, None, title.strip(), body, 0, bool(parts)
-            for p, stop in zip(parts, [*[q.start() for q in parts[1:]], len(body)], strict=False):
-                yield f"{citation}({p.group(1)})", citation, "", body[p.end() : stop].strip(), 1, False
+    mark, paragraph = FLAGS + marker + r"(?:\s+([^\n]{0,120}))?", FLAGS + PARAGRAPH_MARK
+    found = lambda c, pattern, group: F.regexp_extract_all(c, F.lit(pattern), group)
+    none = F.lit(None).cast("string")
+    entry = lambda citation, parent, title, content, depth, more: F.struct(
+        citation.alias("citation"), parent.alias("parent_citation"), title.alias("title"), content.alias("content"), depth.alias("depth"), more.alias("has_children")
+    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "position", "citation", "parent_citation", "title", "content", "depth", "has_children"]
-        for pdf in batches:
-            rows = [(d, i, *s) for d, t in zip(pdf["d"], pdf["t"], strict=True) if t is not None for i, s in enumerate(split(t))]
-            yield pd.DataFrame(rows, columns=names)
+    def with_paragraphs(s: Column) -> Column:
+        top = F.regexp_replace(s["mark"], " ", "")
+        parts = F.zip_with(found(s["body"], paragraph, 1), _after(s["body"], paragraph), lambda label, body: F.struct(label.alias("label"), body.alias("body")))
+        below = F.transform(parts, lambda p: entry(F.concat(top, F.lit("("), p["label"], F.lit(")")), top, F.lit(""), _stripped(p["body"]), F.lit(1), F.lit(False)))
+        return F.concat(F.array(entry(top, none, _stripped(s["title"]), s["body"], F.lit(0), F.size(parts) > 0)), below)
 
-    return docs.select(F.col(doc).cast("string").alias("d"), F.col(text).alias("t")).mapInPandas(run, SECTION_SCHEMA)
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc).cast("string").alias("doc_id"), F.col(text).alias("_t"))
+    marks = F.arrays_zip(found(F.col("_t"), mark, 1).alias("mark"), found(F.col("_t"), mark, 2).alias("title"), F.transform(_after(F.col("_t"), mark), _stripped).alias("body"))
+    rows = rows.withColumn("_m", marks)
+    alone = F.array(entry(F.lit(whole), none, F.lit(""), _stripped(F.col("_t")), F.lit(0), F.lit(False)))
+    sections = F.when(F.size("_m") == 0, alone).otherwise(F.flatten(F.transform("_m", with_paragraphs)))
+    return rows.select("doc_id", F.posexplode(sections).alias("position", "s")).select("doc_id", "position", "s.*")
 
 
 def _windows(words: Column, size: int, overlap: int) -> Column:
@@ -144,5 +152,7 @@ def link_parents(chunks: DataFrame) -> DataFrame:
 
 def upsert_chunks(target: DataFrame, chunks: DataFrame, key: Sequence[str] = ("chunk_id",)) -> DataFrame:
     """New and changed chunks written over the old; those whose hash is unchanged are left alone."""
-    changed = chunks.join(target.select(*key, "version_hash"), [*key, "version_hash"], "left_anti")
+    columns = [*key, "version_hash"]
+    held = target.select(*[F.col(c).alias(f"_{c}") for c in columns])
+    changed = chunks.join(held, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns], "left_anti")
     return upsert(target, changed, list(key))

@@ -87,7 +87,8 @@ def apply_calibration(scored: DataFrame, model: IsotonicRegressionModel, p: str,
 def train_and_evaluate(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, fitter: Fitter, key: str, name: str = "model", date: str = "week_start", n_folds: int = 5, **folds) -> tuple[DataFrame, PipelineModel, DataFrame]:
     """Validation folds, a calibration on the last of them, and a fit on all training rows for the test.
 
-    Returns metrics (model, stage, fold, ...), the final model, and the out-of-fold scores. Folds are few, and each fit is a Spark job of its own.
+    Returns metrics (model, stage, fold, ...), the final model, and the out-of-fold scores. Folds are few, and each fit is a Spark job of its own;
+    the metrics, a row for each fold and one for the test, are worked out here, so that nothing stays cached.
     """
     tagged = expanding_folds(train, date, n_folds, **folds).cache()
     scored = []
@@ -95,14 +96,18 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, features: Sequence[str
         mine = tagged.where(F.col("fold") == fold)
         model = fitter(mine.where("role = 'train'"), features, label)
         scored.append(positive_score(model.transform(mine.where("role = 'val'"))))
-    oof = reduce(DataFrame.unionByName, scored)
+    oof = reduce(DataFrame.unionByName, scored).cache()
     last = oof.where(F.col("fold") == oof.agg(F.max("fold")).first()[0])
     isotonic = calibrate(last, label, "score")
     final = fitter(train, features, label)
     tested = apply_calibration(positive_score(final.transform(test)), isotonic, "score")
     cv = metric_bundle(oof, label, "score", key, ["fold"]).select(F.lit(name).alias("model"), F.lit("cv").alias("stage"), "*")
     held = metric_bundle(tested, label, "calibrated", key).select(F.lit(name).alias("model"), F.lit("test").alias("stage"), F.lit(None).cast("int").alias("fold"), "*")
-    return cv.unionByName(held), final, oof
+    metrics = cv.unionByName(held)
+    metrics = train.sparkSession.createDataFrame(metrics.collect(), metrics.schema)
+    oof.unpersist()
+    tagged.unpersist()
+    return metrics, final, oof
 
 
 def group_models(train: DataFrame, test: DataFrame, by: str, features: Sequence[str], label: str, max_rows: int = 10_000, fallback: str | None = None) -> DataFrame:

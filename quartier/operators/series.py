@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import exact_quantiles
+
 from ..functions.dates import week_number
 
 
@@ -58,8 +60,7 @@ def tail_split(df: DataFrame, key: str = "nta_id", order: str = "week_start", n:
 
 def quantile_bins(df: DataFrame, column: str, bins: int = 10, out: str = "bin") -> DataFrame:
     """Bins 0, 1, ... between exact quantiles; equal edges are merged, equal values share a bin, the least value is in the first."""
-    at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = df.agg(F.array_distinct(F.percentile(column, at)).alias("_edges"))
+    edges = exact_quantiles(df, column, [i / bins for i in range(bins + 1)], "_edges").withColumn("_edges", F.array_distinct("_edges"))
     inner = F.slice("_edges", F.lit(2), F.greatest(F.size("_edges") - 2, F.lit(0)))
     place = F.size(F.filter(inner, lambda e: e < F.col(column)))
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(column).isNotNull(), place)).drop("_edges")  # one row

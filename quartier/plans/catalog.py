@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import panel_queries, scoring_queries, text_queries
+from . import model_queries, panel_queries, record_queries, scoring_queries, text_queries
 
-QUERIES: dict = panel_queries.QUERIES | scoring_queries.QUERIES | text_queries.QUERIES
-ORACLES: dict[str, str] = panel_queries.ORACLES | scoring_queries.ORACLES | text_queries.ORACLES
+QUERIES: dict = panel_queries.QUERIES | scoring_queries.QUERIES | text_queries.QUERIES | record_queries.QUERIES | model_queries.QUERIES
+ORACLES: dict[str, str] = panel_queries.ORACLES | scoring_queries.ORACLES | text_queries.ORACLES | record_queries.ORACLES | model_queries.ORACLES

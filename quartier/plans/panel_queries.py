@@ -134,7 +134,8 @@ def f11(spark, d):
     return t.table(spark, d, "benchmark").select("item_id", keys.version_hash(F.col("text")).alias("version_hash"))
 
 
-@query("f12_uuid5")
+@query("f12_uuid5", """WITH h AS (SELECT item_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(text)) AS d FROM benchmark)
+SELECT item_id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(d, 17, 1)) - 1) % 4 + 1, 1) || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS id FROM h""")
 def f12(spark, d):
     import uuid
 
@@ -220,7 +221,7 @@ def s8(spark, d):
     return normalize.resolve_columns(t.table(spark, d, "nation"), {"id": ["nation_id", "N Nation Key"], "name": ["N_NAME"]})
 
 
-@query("s16_to_geojson")
+@query("s16_to_geojson", """SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || (n_nationkey % 5 + 0.5) || ',' || (n_nationkey // 5 + 0.5) || ']},"properties":{"nta_id":' || n_nationkey || ',"name":"' || n_name || '"}}' AS feature FROM nation""")
 def s16(spark, d):
     c = t.squares(spark, d).select("nta_id", "name", numbers.centroid(F.col("rings")).alias("c"))
     return store.to_geojson(c.select("nta_id", "name", "c.lon", "c.lat"))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -27,8 +25,6 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-
-
 @query("m1_holdout_split", f"WITH {t.LABELS} SELECT nta_id, week_start, CASE WHEN week_start > (SELECT max(week_start) FROM labels) - 84 THEN 'test' ELSE 'train' END AS role FROM labels")
 def m1(spark, d):
     return validation.holdout_split(t.labels(spark, d)).select("nta_id", "week_start", "role")
@@ -296,12 +292,12 @@ def _training(spark, d):
     parts = {"c": t.complaints(spark, d), "w": t.weather(spark, d), "s": t.static(spark, d)}
     rows = joins.build_panel(t.labels(spark, d), parts, ["complaints_count"]).withColumn("y", F.col("positive_ind").cast("double"))
     rows = rows.withColumns({c: F.col(c).cast("double") for c in FEATURES}).withColumn("row", F.concat_ws("|", "nta_id", "week_start"))
-    return validation.holdout_split(rows.select("nta_id", "week_start", "row", "y", *FEATURES))
+    return t.stored(validation.holdout_split(rows.select("nta_id", "week_start", "row", "y", *FEATURES)), "training")
 
 
 @query("l5_train_and_evaluate")
 def l5(spark, d):
-    rows = _training(spark, d).cache()
+    rows = _training(spark, d)
     train, test = (rows.where(F.col("role") == r).drop("role") for r in ("train", "test"))
     metrics, _, _ = models.train_and_evaluate(train, test, FEATURES, "y", models.fit_logistic, "row", "logistic", n_folds=2)
     return models.ablation_table(metrics)
@@ -309,7 +305,7 @@ def l5(spark, d):
 
 @query("l10_materialize_scores")
 def l10(spark, d):
-    rows = _training(spark, d).cache()
+    rows = _training(spark, d)
     model = models.fit_gbt(rows.where("role = 'train'"), FEATURES, "y", rounds=5)
     return models.materialize_scores(rows.drop("role"), model, "v1", FEATURES)
 
@@ -403,8 +399,7 @@ def l9(spark, d):
 
 @query("s17_out_of_fold", f"WITH {t.LABELS} SELECT nta_id || '|' || week_start AS key, round(positive_count / total_count, 6) AS value FROM labels")
 def s17(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-oof-")
-    path = f"{base.rstrip('/')}/oof-{uuid.uuid4().hex}"
+    path = t.scratch(spark, "oof")
     store.write_oof(t.labels(spark, d).withColumn("score", F.col("positive_count") / F.col("total_count")), path)
     rows = store.read_oof(spark, path)
     return rows.select(F.concat_ws("|", "nta_id", F.col("week_start").cast("string")).alias("key"), F.round("score", 6).alias("value"))

@@ -214,7 +214,10 @@ def e3(spark, d):
     return evaluation.refusal_calibration(_items(spark, d), answers).select("id", "refusal_calibration")
 
 
-@query("e4_run_eval")
+@query("e4_run_eval", """WITH i AS (SELECT CASE WHEN item_id % 4 = 0 THEN 'refusal_calibration' ELSE 'factual' END AS mode, CASE WHEN item_id % 5 = 0 THEN 1.0 ELSE 0.5 END AS share, CASE WHEN item_id % 4 = 0 THEN 1.0 ELSE -1.0 END AS refusal FROM benchmark),
+l AS (SELECT mode, unnest([struct_pack(m := 'citation_accuracy', v := share, t := 0.6), struct_pack(m := 'recall_at_k', v := share, t := 0.7), struct_pack(m := 'refusal_calibration', v := refusal, t := 0.8)]) AS e FROM i),
+b AS (SELECT mode, e FROM l UNION ALL SELECT 'all', e FROM l)
+SELECT mode AS "group", e.m AS metric, round(CAST(avg(nullif(e.v, -1)) AS DOUBLE), 6) AS mean, count(nullif(e.v, -1)) AS n, count(*) FILTER (WHERE e.v = -1) AS skipped, round(CAST(avg(nullif(e.v, -1)) AS DOUBLE), 6) >= max(e.t) AS passed FROM b GROUP BY ALL""")
 def e4(spark, d):
     b = t.table(spark, d, "benchmark")
     hits = b.select(F.col("item_id").alias("query_id"), F.lit(1).alias("rank"), F.concat(F.lit("§"), "item_id").alias("citation"))
@@ -244,7 +247,12 @@ def f23(spark, d):
     return t.table(spark, d, "events").select("event_id", text.retrieval_query(F.col("event_type"), F.col("value"), factors).alias("q"))
 
 
-@query("f23_summary_prompt")
+@query("f23_summary_prompt", """WITH e AS (SELECT *, CAST(ts AS DATE) AS d FROM events)
+SELECT event_id, 'NTA: ' || event_type || chr(10) || 'Week: ' || d || chr(10) || 'Current risk score: ' || CAST(round(CAST(CAST(value / 100 AS VARCHAR) AS DECIMAL(30, 20)), 3) AS DECIMAL(12, 3)) || ' (decile 3/10)' || chr(10) || chr(10) || 'Top contributing factors:' || chr(10)
+  || '  - ' || event_type || CASE WHEN value - 50 > 0 THEN ' increases' ELSE ' decreases' END || ' risk (SHAP=' || printf('%+.4f', round(value - 50, 6)) || ')' || chr(10) || chr(10) || '12-week forecast trend (p50 risk score):' || chr(10)
+  || '  - 2024-01-08: 0.050' || chr(10) || '  - 2024-01-15: 0.100' || chr(10) || '  - 2024-01-22: 0.150' || chr(10) || '  - 2024-01-29: 0.200' || chr(10) || '  - … → 2024-03-25: 0.600' || chr(10) || chr(10)
+  || 'Relevant context (from NYC policy and public health sources):' || chr(10) || chr(10) || '[§1.2]' || chr(10) || event_type || chr(10) || chr(10)
+  || 'Please write a 2–3 sentence risk summary for this NTA that a resident or building owner would find useful.' AS prompt FROM e""")
 def f23b(spark, d):
     factors = F.array(text.describe_factor(F.col("event_type"), F.col("value") - 50))
     weeks = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.struct(F.date_add(F.lit("2024-01-01").cast("date"), 7 * i).alias("forecast_week"), (i / 20.0).alias("p50")))

@@ -6,7 +6,7 @@ import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import polygon_area
@@ -29,7 +29,8 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], update_col
     """The target with the source's rows: new keys added, known ones updated (all or some columns) or left ("nothing")."""
     source = last_rows(source, keys, order)
     if on_conflict == "nothing":
-        return target.unionByName(source.join(target.select(*keys), list(keys), "left_anti"))
+        known = target.select(*[F.col(k).alias(f"_{k}") for k in keys])
+        return target.unionByName(source.join(known, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti"))
     if on_conflict != "update":
         raise ValueError(f"on_conflict is 'update' or 'nothing', not {on_conflict!r}")
     change = [c for c in target.columns if c not in keys] if update_cols is None else list(update_cols)

@@ -74,6 +74,37 @@ def test_legal_text(spark):
     assert all(x.content_with_prefix.startswith("From law d §") and len(x.version_hash) == 64 for x in ids.values())
 
 
+def test_titles_may_stand_on_the_next_line(spark):
+    text = "Preamble\n§1.1\nDuty of owners\nKeep it clean.\n(a) Each day\n(b) Each  night \n§ 2-10 Title here\nBody\n§3.1"
+    got = corpus.split_sections(spark.createDataFrame([("x", text), ("y", None), ("z", " no marks ")], "doc_id string, text string")).collect()
+    assert [(r.doc_id, r.position, r.citation, r.parent_citation, r.title, r.content, r.depth, r.has_children) for r in got] == [
+        ("x", 0, "§1.1", None, "Duty of owners", "Keep it clean.\n(a) Each day\n(b) Each  night", 0, True),
+        ("x", 1, "§1.1(a)", "§1.1", "", "Each day", 1, False),
+        ("x", 2, "§1.1(b)", "§1.1", "", "Each  night", 1, False),
+        ("x", 3, "§2-10", None, "Title here", "Body", 0, False),
+        ("x", 4, "§3.1", None, "", "", 0, False),
+        ("z", 0, "§(full)", None, "", "no marks", 0, False),
+    ]
+
+
+def test_null_keys_are_inserted_once(spark):
+    rows = spark.createDataFrame([(None, 1), (1, 2)], "k int, v int")
+    assert store.upsert(rows.limit(0), rows, ["k"], on_conflict="nothing").count() == 2
+    assert store.upsert(rows, rows, ["k"], on_conflict="nothing").count() == 2
+    chunks = spark.createDataFrame([(None, "h", 1)], "chunk_id string, version_hash string, v int")
+    assert corpus.upsert_chunks(chunks, chunks.withColumn("v", F.lit(2))).first().v == 1
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(4)
+    for n in (0, 1, 2, 7, 500):
+        values = [rng.choice([rng.random(), 0.5, None]) for _ in range(n)] if n > 2 else [0.25] * n
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got = aggregates.exact_quantiles(df, "v", [0, 0.1, 0.33, 0.9, 1]).first()
+        held = [v for v in values if v is not None]
+        assert (got is None or got[0] is None) if not held else got[0] == pytest.approx(np.quantile(held, [0, 0.1, 0.33, 0.9, 1]).tolist())
+
+
 def test_chunk_windows(spark):
     for n in (1, 450, 461, 462, 846, 847, 1242, 1243):
         words = [f"w{i}" for i in range(n)]

@@ -45,3 +45,24 @@ def test_dedupe_and_usage(spark, tmp_path):
     q = ingest.stream_usage(stream, prices).writeStream.outputMode("complete").format("memory").queryName("spent").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.model, r.calls, r.cost) for r in spark.table("spent").collect()) == [("m", 2, 0.004), ("x", 1, 0.0)]
+
+
+def test_added_columns_are_not_added_twice(spark, tmp_path):
+    schema = "k int, n long"
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    ingest.stream_upsert(feed(spark, tmp_path, [[(1, 1), (2, 1), (1, 4)], [(2, 2), (None, 5)]], schema), out, ["k"], state, add=["n"], buckets=3).awaitTermination(120)
+    assert sorted(map(tuple, ingest.current_table(spark, out).collect()), key=str) == [(1, 5), (2, 3), (None, 5)]
+    # a run without the stream's state repeats its batches: each starts from the table as it was before that batch
+    again = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ingest.stream_upsert(again, out, ["k"], state + "2", add=["n"], buckets=3).awaitTermination(120)
+    assert {r.k: r.n for r in ingest.current_table(spark, out).collect()}[1] == 5
+    before = sorted(map(tuple, ingest.current_table(spark, out).collect()), key=str)
+    assert ingest.vacuum(spark, out) > 0 and sorted(map(tuple, ingest.current_table(spark, out).collect()), key=str) == before
+
+
+def test_rows_before_the_cursor_are_ignored(spark, tmp_path):
+    rows = [(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 1, 3)), (3, None)]
+    stream = feed(spark, tmp_path, [rows], "k int, ts timestamp")
+    out = str(tmp_path / "out")
+    ingest.stream_upsert(ingest.stream_later_than(stream, "ts", dt.datetime(2024, 1, 2)), out, ["k"], str(tmp_path / "state")).awaitTermination(120)
+    assert [r.k for r in ingest.current_table(spark, out).collect()] == [2]
