@@ -13,7 +13,7 @@ up to ``SAMPLE_CHARS`` characters of letters and spaces in all. Each text gives
 theirs goes to longer ones.
 
 Nulls and edge cases: a null text, or one without a letter, is ``und`` with score 0; rows without a label are
-not learned from; ties go to the first language by name; without any labelled text all is ``und``; repeated
+not learned from; a null id is not held out; ties go to the first language by name; without any labelled text all is ``und``; repeated
 rows get equal predictions; an empty table gives an empty result; other columns are not read.
 """
 
@@ -208,6 +208,7 @@ def sample(docs: DataFrame) -> dict[str, list[str]]:
 def identify(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFrame:
     """docs with lang_pred and score added. Only the text is used to predict."""
     spark = docs.sparkSession
+    io.small_batches(spark)
     samples = sample(labelled)
     docs = docs.drop("lang_pred", "score")
     if not samples:
@@ -218,17 +219,18 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFr
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = []
-            cuts = (texts.str.len().fillna(0).cumsum() // (1 << 22)).to_numpy()
+            cuts = (texts.str.len().fillna(0).cumsum() // (1 << 21)).to_numpy()
             for cut in np.unique(cuts):
                 langs, score = model.value.predict(texts[cuts == cut].fillna("").tolist())
                 out.append(pd.DataFrame({"lang_pred": langs, "score": score}))
+            io.trim()
             yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": []})
 
     return docs.withColumn("_p", predict(text)).select(*docs.columns, "_p.lang_pred", "_p.score")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = io.crc_mod("doc_id", 4) == 2
+    held = F.coalesce(io.crc_mod("doc_id", 4) == 2, F.lit(False))
     docs = io.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = identify(docs.select("doc_id", "text"), docs.where(~held))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
@@ -237,4 +239,4 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose text is of a language that the corpus has labels for."""
     columns = docs.columns
-    return identify(docs, docs.where(io.crc_mod("doc_id", 4) != 2)).where(F.col("lang_pred") != "und").select(*columns)
+    return identify(docs, docs.where(F.coalesce(io.crc_mod("doc_id", 4) != 2, F.lit(True)))).where(F.col("lang_pred") != "und").select(*columns)

@@ -13,22 +13,22 @@ next shorter context, and unseen tokens share the uniform part.
 
 Nulls and edge cases: a null text counts as empty, which has one token, the end; a null id is trained on and not held out; without training rows every
 probability is uniform; texts of any length are read whole; repeated rows are counted and scored each; an
-empty table gives an empty result; other columns are not read.
+empty table gives an empty result; other columns are not read. More than 2**32 - 1 distinct tokens, or contexts of a length, raise an error.
 """
 
 from __future__ import annotations
 
-import functools
-import io as bytes_io
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan, io
+from .arrays import find, get, put, spread
 
 END = np.uint64(0x5EED_0E4D_0F7E_C57F)
 START = np.uint64(2**32 - 1)
@@ -37,47 +37,9 @@ MESSAGE = "range int, keys binary, counts binary"
 FLUSH = 1 << 22
 
 
-def put(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """Writes arrays to the shared folder, each as one file that appears whole."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    for key, array in arrays.items():
-        buffer = bytes_io.BytesIO()
-        np.save(buffer, array)
-        part = f"{path}/.{name}.{key}.{np.random.default_rng().integers(2**62)}"
-        with store.open_output_stream(part) as out:
-            out.write(buffer.getbuffer())
-        store.move(part, f"{path}/{name}.{key}.npy")
-
-
-@functools.lru_cache(maxsize=4096)
-def _mapped(path: str) -> np.ndarray:
-    return np.load(path, mmap_mode="r")
-
-
-@functools.lru_cache(maxsize=16)
-def _fetched(folder: str, path: str) -> np.ndarray:
-    from pyarrow import fs
-
-    store, _ = fs.FileSystem.from_uri(folder)
-    with store.open_input_file(path) as source:
-        return np.load(bytes_io.BytesIO(source.read()))
-
-
-def get(folder: str, name: str, key: str) -> np.ndarray:
-    """An array of the shared folder: mapped into memory where the folder is mounted, else read, a few at a time."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    path = f"{path}/{name}.{key}.npy"
-    return _mapped(path) if isinstance(store, fs.LocalFileSystem) else _fetched(folder, path)
-
-
-def spread(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """The range of each key: equal shares of the 64-bit space."""
-    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where they fit, else in 64."""
+    return counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.uint64)
 
 
 def messages(keys: list[np.ndarray], counts: list[np.ndarray] | None, ranges: int, mixed: bool) -> pd.DataFrame:
@@ -87,29 +49,27 @@ def messages(keys: list[np.ndarray], counts: list[np.ndarray] | None, ranges: in
     place = spread(bytescan.mix(keys) if mixed else keys, ranges)
     order = np.argsort(place, kind="stable")
     cut = np.searchsorted(place[order], np.arange(ranges + 1))
-    rows = [(r, keys[order[a:b]].tobytes(), count[order[a:b]].astype(np.uint32).tobytes()) for r, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+    rows = [(r, keys[order[a:b]].tobytes(), narrow(count[order[a:b]]).tobytes()) for r, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
     return pd.DataFrame(rows, columns=["range", "keys", "counts"])
 
 
 def summed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of some messages and their total counts."""
     keys = np.concatenate([np.frombuffer(k, np.uint64) for k in pdf["keys"]])
-    counts = np.concatenate([np.frombuffer(c, np.uint32) for c in pdf["counts"]])
+    # counts have half the keys' bytes, or as many
+    counts = np.concatenate([np.frombuffer(c, np.uint32 if 2 * len(c) == len(k) else np.uint64).astype(np.int64) for k, c in zip(pdf["keys"], pdf["counts"], strict=True)])
     keys, inverse = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.int64)
+    return keys, _sums(inverse, counts, len(keys))
 
 
 def token_hashes(text: str | None) -> np.ndarray:
     return np.append(bytescan.word_hashes((text or "").encode("utf-8", "surrogatepass")), END)
 
 
-def find(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of keys in a sorted array, and which of them are there."""
-    if not len(held):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    place = np.searchsorted(held, keys)
-    place[place == len(held)] = 0
-    return place, held[place] == keys
+def _sums(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    np.add.at(out, place, values)
+    return out
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -304,7 +264,7 @@ def train(docs: DataFrame, folder: str, order: int = 2) -> Model:
         def store(pdf: pd.DataFrame) -> pd.DataFrame:
             r = int(pdf["range"].iloc[0])
             keys, counts = summed(pdf)
-            put(folder, f"grams{n}-{r}", keys=keys, counts=counts.astype(np.uint32))
+            put(folder, f"grams{n}-{r}", keys=keys, counts=narrow(counts))
             if 2 < n < order:
                 put(folder, f"grams{n}-{r}", suffixes=model.suffixes(n, keys).astype(np.uint32))
             return pd.DataFrame({"range": [r], "n": [len(keys)]})
@@ -343,11 +303,11 @@ def _facts(spark: SparkSession, model: Model, n: int) -> None:
                 facts, times = np.unique(np.concatenate([suffixes * five, context[inner] * five + kind[inner]]), return_counts=True)
                 if n < order:  # at the highest order the context's own count is the total
                     totals, inverse = np.unique(context[inner] * five + np.uint64(4), return_inverse=True)
-                    facts, times = np.append(facts, totals), np.append(times, np.bincount(inverse, weights=counts[inner], minlength=len(totals)).astype(np.int64))
+                    facts, times = np.append(facts, totals), np.append(times, _sums(inverse, counts[inner], len(totals)))
                     sort = np.argsort(facts, kind="stable")
                     facts, times = facts[sort], times[sort]
                 cut = np.searchsorted(facts, below.astype(np.uint64) * five)
-                out += [(t, facts[a:b].tobytes(), times[a:b].astype(np.uint32).tobytes(), None) for t, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+                out += [(t, facts[a:b].tobytes(), narrow(times[a:b]).tobytes(), None) for t, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
                 of = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
                 begun = [int((kind[~inner] == k).sum()) for k in (1, 2, 3)]
                 out.append((-1, None, None, [len(keys), *of, *begun]))
@@ -364,7 +324,7 @@ def _facts(spark: SparkSession, model: Model, n: int) -> None:
     def store(pdf: pd.DataFrame) -> pd.DataFrame:
         r = int(pdf["range"].iloc[0])
         keys, counts = summed(pdf)
-        figures = np.zeros((int(below[r + 1] - below[r]), 5), np.uint32)
+        figures = np.zeros((int(below[r + 1] - below[r]), 5), narrow(counts).dtype)
         figures[(keys // np.uint64(5)).astype(np.int64) - below[r], (keys % np.uint64(5)).astype(np.int64)] = counts
         put(folder, f"grams{n - 1}-{r}", facts=figures)
         low = figures[:, 0]
@@ -378,17 +338,13 @@ def _facts(spark: SparkSession, model: Model, n: int) -> None:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            cuts = (pdf["text"].str.len().fillna(0).cumsum() // (1 << 22)).to_numpy()
-            for cut in np.unique(cuts):
-                part = pdf[cuts == cut]
-                out = pd.DataFrame(model.score(part["text"].tolist()), columns=["n_tokens", "n_known", "base_score", "score"])
-                out.insert(0, "doc_id", part["doc_id"].to_numpy())
-                yield out.assign(train_tokens=model.tokens)
-
-    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    def run(texts: list) -> dict:
+        columns = zip(*model.score(texts), strict=True)
+        kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+        out = {name: pa.array(list(c), kind) for (name, kind), c in zip(kinds.items(), columns, strict=True)}
+        return out | {"train_tokens": pa.array([model.tokens] * len(texts), pa.int64())}
+
+    return io.per_text(docs.select("doc_id", "text"), run, "n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _scored(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
