@@ -12,11 +12,13 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_url_filters": urls.op7_url_filters,
+    "op7_url_rules": urls.op7_url_rules,
     "op8_exact_top_k": vectors.op8_exact_top_k,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_lm_scoring": language_model.op10_lm_scoring,
     "op10_lm_scoring_order_three": language_model.op10_lm_scoring_order_three,
 }
 ORACLES: dict[str, str] = {
+    "op7_url_rules": urls.OP7_SQL,
     "op8_exact_top_k": vectors.OP8_SQL,
 }

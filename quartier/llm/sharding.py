@@ -1,11 +1,14 @@
 """Sharding by fixed virtual slots.
 
-Records hash into a fixed number of virtual slots. Bytes are summed per slot, and a small versioned table maps
-slots to shards; rebalancing edits that table and moves only the slots it names. Everything is DataFrame
+Records hash into a fixed number of virtual slots, by id, size and checksum of the text. Bytes are summed per slot, and a small versioned table
+in the shared folder maps slots to shards; rebalancing adds an edited version and moves only the slots it names. Everything is DataFrame
 expressions; the only table gathered into one row is the slot table, whose size is the ``slots`` parameter.
 
+Rows that repeat id and text all hash alike. A slot of more than a quarter of a shard's share so is spread over all slots, by a number that each row got when
+ids, sizes and checksums were first written down; no more than four such slots fit into a shard.
+
 Nulls and edge cases: a null text has size 1 and a null checksum; a null id is hashed as such and sharded like
-any other row; repeated rows each take a position of their own; an empty table gives an empty result. Only the
+any other row; repeated rows each take a position of their own; a shard is as uneven as the largest single text; an empty table gives an empty result. Only the
 id and text columns are read, so extra columns never clash.
 """
 
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 from . import io
 
 SLOTS = 4096
+MAP = "version int, virtual_slot int, shard int, slot_rows long, slot_bytes long"
 
 
 def virtual_slot(*keys: Column, slots: int = SLOTS) -> Column:
@@ -85,11 +89,11 @@ def rebalance(old: DataFrame, stats: DataFrame, shards: int) -> DataFrame:
 
 def write_map(slot_map: DataFrame, path: str) -> None:
     """Appends a version to the stored map; earlier versions stay readable."""
-    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    slot_map.select("version", "virtual_slot", "shard", "slot_rows", "slot_bytes").coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    stored = spark.read.parquet(path)
+    stored = spark.read.schema(MAP).parquet(path)
     if version is None:
         version = stored.agg(F.max("version")).first()[0]
     return stored.where(F.col("version") == version)
@@ -112,15 +116,34 @@ def assign(rows: DataFrame, slot_map: DataFrame, order: str) -> DataFrame:
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, slot_map: DataFrame | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, shard and slot of every document, shard sizes near equal in bytes."""
+def sized_rows(docs: DataFrame, shards: int, slots: int) -> DataFrame:
+    """(doc_id, size, text_crc32, virtual_slot) of every document, written to the shared folder."""
     text = F.col("text")
-    rows = docs.select(
-        "doc_id", record_size(text).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
-    ).withColumn("virtual_slot", virtual_slot(F.col("doc_id"), slots=slots))
-    if slot_map is None:
-        slot_map = initial_map(slot_stats(rows), shards)
-    return assign(rows, slot_map, "doc_id")
+    rows = docs.select("doc_id", record_size(text).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("salt"))
+    rows = io.written(rows.withColumn("virtual_slot", virtual_slot(F.col("doc_id"), F.col("size"), F.col("text_crc32"), slots=slots)), "shard-rows")
+    stats = slot_stats(rows)
+    most = stats.agg((F.sum("slot_bytes") / (4 * shards)).alias("most"))  # one row
+    hot = stats.join(F.broadcast(most), F.col("slot_bytes") > F.col("most")).where("slot_rows > 1").select("virtual_slot", F.lit(True).alias("hot"))
+    rows = rows.join(F.broadcast(hot), "virtual_slot", "left")  # 4 * shards rows at most
+    spread = virtual_slot(F.col("virtual_slot"), F.col("salt"), slots=slots)
+    return rows.withColumn("virtual_slot", F.when(F.col("hot"), spread).otherwise(F.col("virtual_slot"))).select("doc_id", "size", "text_crc32", "virtual_slot")
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, stored: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, virtual_slot, shard and slot of every document, shard sizes near equal in bytes.
+
+    stored: the folder of a map with a version at least, which is rebalanced as a next version. Without one, version 0 is
+    written to a new folder. Rows are assigned by what is read back from there.
+    """
+    spark = docs.sparkSession
+    rows = sized_rows(docs, shards, slots)
+    stats = slot_stats(rows)
+    if stored is None:
+        stored = io.shared_folder(spark, "slot-map")
+        write_map(initial_map(stats, shards), stored)
+    else:
+        write_map(rebalance(read_map(spark, stored), stats, shards), stored)
+    return assign(rows, read_map(spark, stored), "doc_id")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

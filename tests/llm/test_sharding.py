@@ -42,6 +42,44 @@ def test_rebalance_moves_little_and_versions_stay(spark):
     assert {r.virtual_slot: r.shard for r in sharding.read_map(spark, path, 0).collect()} == was
 
 
+def test_equal_to_plain_version(spark):
+    """Slots go to the least loaded shard, largest first; positions run by slot, then by id, checksum and size."""
+    rows = [(i % 900, "y" * (i * i % 700)) for i in range(2000)] + [(None, None), (None, "z")]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5, 64).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r.virtual_slot, []).append(r)
+    load, shard = [0] * 5, {}
+    for v in sorted(slots, key=lambda v: (-sum(r.size for r in slots[v]), v)):
+        shard[v] = load.index(min(load))
+        load[shard[v]] += sum(r.size for r in slots[v])
+    want, at = [], [0] * 5
+    for v in sorted(slots):
+        first = lambda x, low: (x is not None, low if x is None else x)
+        for r in sorted(slots[v], key=lambda r: (first(r.doc_id, 0), first(r.text_crc32, 0), r.size)):
+            want.append((r.doc_id, r.size, r.text_crc32, shard[v], at[shard[v]]))
+            at[shard[v]] += 1
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.size, r.text_crc32, r.shard, r.slot)) for r in got)
+
+
+def test_repeated_rows_and_null_ids_spread(spark):
+    for rows in ([(7, "a" * 100)] * 4000 + [(None, f"b{i}") for i in range(4000)], [(7, f"c{i}") for i in range(4000)]):
+        got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        sizes = [sum(r.size for r in got if r.shard == s) for s in range(8)]
+        assert max(sizes) - min(sizes) < 0.02 * sum(sizes), sizes
+        assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(8))
+
+
+def test_stored_map_gets_a_next_version(spark):
+    rows = spark.createDataFrame([(i, "d" * (i % 50)) for i in range(3000)], "doc_id long, text string")
+    path = io.shared_folder(spark, "map")
+    sharding.write_map(sharding.initial_map(sharding.slot_stats(sharding.sized_rows(rows, 4, 128)), 4), path)
+    got = {r.virtual_slot: r.shard for r in sharding.shard_documents(rows, 5, 128, path).collect()}
+    was = {r.virtual_slot: r.shard for r in sharding.read_map(spark, path, 0).collect()}
+    assert got == {r.virtual_slot: r.shard for r in sharding.read_map(spark, path, 1).collect()}
+    assert set(got.values()) == set(range(5)) and sum(was[v] != s for v, s in got.items()) < 0.4 * len(got)
+
+
 def test_main_path_has_no_python(spark):
     plan = sharding.op3_sharding(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "ArrowEval" not in plan
