@@ -40,7 +40,8 @@ def embed(df: DataFrame, text: str, encoder: Encoder | None = None, out: str = "
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30, block: int = 4096, query: str = "query_id", chunk: str = "chunk_id", vec: str = "embedding") -> DataFrame:
     """(query_id, rank, chunk_id, score): the k chunks with the greatest cosine for each query, ties to the smaller id.
 
-    Queries are a stated batch and handled in blocks of a fixed number; each partition of chunks answers with its own k best for each.
+    Queries are a stated batch and handled in blocks of a fixed number; each batch of chunks answers with its own k best for each, and those that
+    tie with them. Vectors are compared with those of their own length.
     """
     blocks = max(1, -(-queries.count() // block))
     kinds = f"query_id {queries.schema[query].dataType.simpleString()}, chunk_id {chunks.schema[chunk].dataType.simpleString()}, score double"
@@ -50,17 +51,21 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30, block: int =
         mine = queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == number).select(query, vec).dropna().toPandas()
         if not len(mine):
             continue
-        ids, matrix = mine[query].to_numpy(), unit(np.array(mine[vec].tolist(), np.float64))
+        lengths = mine[vec].map(len).to_numpy()
+        parts = {int(n): (mine[query].to_numpy()[lengths == n], unit(np.array(mine[vec][lengths == n].tolist(), np.float64).reshape(-1, n))) for n in np.unique(lengths)}
 
-        def scan(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pd.DataFrame], parts=parts) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                pdf = pdf.sort_values("c", kind="stable")
-                if not len(pdf):
-                    continue
-                scores = np.round(matrix @ unit(np.array(pdf["v"].tolist(), np.float64)).T, 9)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(ids)), best.shape[1])
-                yield pd.DataFrame({"query_id": ids[rows], "chunk_id": pdf["c"].to_numpy()[best.ravel()], "score": scores[rows, best.ravel()]})
+                lengths = pdf["v"].map(len).to_numpy(np.int64)
+                for n in np.unique(lengths).tolist():
+                    if n not in parts:
+                        continue
+                    (ids, matrix), some = parts[n], pdf[lengths == n].sort_values("c", kind="stable")
+                    scores = np.round(matrix @ unit(np.array(some["v"].tolist(), np.float64).reshape(-1, n)).T, 9)
+                    # whatever reaches the k-th score may be among the k best, ties too
+                    kth = np.partition(scores, -k, axis=1)[:, -k, None] if scores.shape[1] > k else -np.inf
+                    row, best = np.nonzero(scores >= kth)
+                    yield pd.DataFrame({"query_id": ids[row], "chunk_id": some["c"].to_numpy()[best], "score": scores[row, best]})
 
         found.append(chunks.select(F.col(chunk).alias("c"), F.col(vec).alias("v")).dropna().mapInPandas(scan, kinds))
     if not found:
@@ -93,8 +98,11 @@ def bm25_top_k(queries: DataFrame, index: LexicalIndex, k: int = 30, match: str
     asked = asked.select("query_id", "n_terms", F.explode("t").alias("term"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    terms = asked.join(index.terms, "term").crossJoin(F.broadcast(index.totals))  # one row
-    hits = terms.join(index.postings, "term").groupBy("query_id", "chunk_id", "n_terms").agg(F.round(F.sum(idf * weight), 9).alias("score"), F.count(F.lit(1)).alias("held"))
+    # only postings of terms that are asked for are counted and shuffled: where their table is small, the semi-join goes below the aggregate
+    postings = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = asked.join(df, "term").crossJoin(F.broadcast(index.totals))  # one row
+    hits = terms.join(postings, "term").groupBy("query_id", "chunk_id", "n_terms").agg(F.round(F.sum(idf * weight), 9).alias("score"), F.count(F.lit(1)).alias("held"))
     if match == "all":
         hits = hits.where("held = n_terms")
     return top_n(hits, ["query_id"], ["-score", "chunk_id"], k).select("query_id", "rank", "chunk_id", "score")

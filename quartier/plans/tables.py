@@ -73,6 +73,18 @@ def permits(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.weekly_counts(_items(spark, d, "ship"), "nta_id", "d", {"demolitions_count": F.col("l_linestatus") == "F"}, total="permits_count")
 
 
+def items(spark: SparkSession, d: str) -> DataFrame:
+    """pests and permits in one: each line item counts in its order's week and in its shipping week, so the three tables are joined once."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", F.col("l_shipdate").cast("date").alias("ship"))
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("bbl"), F.col("o_orderdate").cast("date").alias("ordered"))
+    both = joins.attach_area(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), lots(spark, d).select("bbl", "nta_id"))
+    dated = F.explode(F.array(F.struct(F.lit(True).alias("shipped"), F.col("ship").alias("d")), F.struct(F.lit(False).alias("shipped"), F.col("ordered").alias("d")))).alias("e")
+    rows = both.select("nta_id", "l_returnflag", "l_linestatus", dated).select("nta_id", "e.d", "e.shipped", "l_returnflag", "l_linestatus")
+    shipped = F.col("shipped")
+    counted = {"pest_count": ~shipped & (F.col("l_returnflag") == "R"), "permits_count": shipped, "demolitions_count": shipped & (F.col("l_linestatus") == "F")}
+    return aggregates.weekly_counts(rows, "nta_id", "d", counted).drop("total_count")
+
+
 def daily(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("date"), "o_totalprice")
     return orders.groupBy("date").agg(
@@ -96,7 +108,7 @@ def static(spark: SparkSession, d: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
-    parts = {"complaints": complaints(spark, d), "pests": pests(spark, d), "permits": permits(spark, d), "weather": weather(spark, d), "static": static(spark, d)}
+    parts = {"complaints": complaints(spark, d), "items": items(spark, d), "weather": weather(spark, d), "static": static(spark, d)}
     return joins.build_panel(labels(spark, d), parts, ["complaints_count", "pest_count", "permits_count", "demolitions_count"])
 
 
