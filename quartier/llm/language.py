@@ -199,7 +199,9 @@ def sample(docs: DataFrame) -> dict[str, list[str]]:
     least = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("bucket")).agg(F.min("h").alias("h"))
     hashes = [r.h for r in least.select("h").distinct().collect()]  # SAMPLE_ROWS a language at most
     texts: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.where(F.col("h").isin(hashes)).select("lang", "h", "text").distinct().collect() if hashes else []:
+    # letters and spaces only, and of no text more than the whole sample may hold, so that what is gathered is bounded
+    body = F.substring(F.regexp_replace("text", r"[^\p{L}]+", " "), 1, SAMPLE_CHARS + 1).alias("text")
+    for r in rows.where(F.col("h").isin(hashes)).select("lang", "h", body).distinct().collect() if hashes else []:
         texts.setdefault(r.lang, []).append((r.h, r.text))
     found = {lang: [t for _, t in sorted(held)] for lang, held in texts.items()}
     return {lang: held for lang, held in found.items() if any((letters(t) != 32).any() for t in held)}

@@ -128,3 +128,19 @@ def test_higher_orders_equal_brute_force(spark):
         got = [r.score for r in lm.score(docs, model).orderBy("doc_id").collect()]
         want = brute_order([t for i, t in enumerate(texts) if i % 3], texts, order)
         assert all(abs(g - w) < 1e-6 * abs(w) + 1e-9 for g, w in zip(got, want, strict=True)), order
+
+
+def test_ids_are_not_rounded(spark):
+    docs = spark.createDataFrame([(None, "a b"), (2**60 + 1, "c")], "doc_id long, text string").coalesce(1)
+    model = lm.train(docs, io.shared_folder(spark, "lm"))
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in lm.score(docs, model).collect()) == [(0, 3), (2**60 + 1, 2)]
+
+
+def test_counts_beyond_32_bits():
+    import numpy as np
+    import pandas as pd
+
+    assert lm.narrow(np.array([2**32 - 1])).dtype == np.uint32 and lm.narrow(np.array([2**32])).dtype == np.uint64
+    keys = np.array([3, 9], np.uint64).tobytes()
+    sent = pd.DataFrame({"keys": [keys, keys], "counts": [lm.narrow(np.array(c)).tobytes() for c in ([2**33, 1], [5, 2**32 - 1])]})
+    assert lm.summed(sent)[1].tolist() == [2**33 + 5, 2**32]

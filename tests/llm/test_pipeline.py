@@ -1,5 +1,5 @@
 import corpus_pipeline
-from quartier.llm import bpe, decontaminate
+from quartier.llm import bpe, decontaminate, io
 
 from . import test_near_dup, test_suffix_dedup
 from .test_decontaminate import distance
@@ -46,3 +46,21 @@ def test_stages_take_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, path)
     assert docs.count() == 0
+
+
+def test_stages_take_odd_rows(spark):
+    """Null and large ids, repeated rows, null, empty and long texts, and columns named like the stages' own."""
+    path, big = "/root/testdata/sf0.001", 2**60 + 1
+    base = [r.text for r in spark.read.parquet(f"{path}/documents.parquet").orderBy("doc_id").limit(12).collect()]
+    copy = "a text that two rows without an id and one row with an id have in common, word for word, and nothing else has " * 2
+    rows = [(i, t, "en", None) for i, t in enumerate(base)] + [(None, copy, None, 1), (None, copy, None, 1), (big, copy, "en", 2), (big, copy, "en", 2), (None, "the only one of its kind", None, 3)]
+    rows += [(77, None, None, None), (78, "", "en", 0), (79, "1 2 3", "en", 0), (80, "lange " + "wörter sind selten " * 9000, "de", 0)]
+    docs = spark.createDataFrame([(*r, "own", 5) for r in rows], "doc_id long, text string, lang string, n_chars long, node string, batch int").coalesce(2)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = io.written(stage(spark, docs, path), "odd")
+        assert docs.columns == ["doc_id", "text", "lang", "n_chars", "node", "batch"]
+        assert {(r.node, r.batch) for r in docs.collect()} == {("own", 5)}
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, path).collect()
+    ids = [r.doc_id for r in got]
+    assert ids.count(big) == 1 and ids.count(None) == 1 and not {77, 78, 79} & set(ids) and 80 in ids
+    assert [r.text for r in got if r.doc_id is None] == ["the only one of its kind"] and all(len(r.ids) == r.n_tokens for r in got)
