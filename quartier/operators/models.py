@@ -12,7 +12,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, Multila
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import upsert
@@ -110,9 +110,12 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, features: Sequence[str
     return metrics, final, oof
 
 
-def group_models(train: DataFrame, test: DataFrame, by: str, features: Sequence[str], label: str, max_rows: int = 10_000, fallback: str | None = None) -> DataFrame:
+def group_models(train: DataFrame, test: DataFrame, by: str, features: Sequence[str], label: str, max_rows: int = 10_000, fallback: str | None = None, date: str | None = None, tail: float = 0.2) -> DataFrame:
     """A small ridge logistic model for each group, for groups within ``max_rows`` and with both classes; others are skipped.
 
+    Given a date column, a group's model learns from its earlier rows, and the last share ``tail`` of them calibrates it, monotonically; a group
+    whose earlier rows have one class only learns from all and is not calibrated.
+
     Returns test rows with group_score, status and, given a fallback column, score: the group's or the fallback.
     A group that is too large never gathers in one task: only its count is looked at.
     """
@@ -123,11 +126,18 @@ def group_models(train: DataFrame, test: DataFrame, by: str, features: Sequence[
     cols = list(features)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        late = pdf.iloc[:0]
+        if date:
+            pdf = pdf.sort_values([date, *cols], kind="stable")
+            cut = len(pdf) - int(tail * len(pdf))
+            if pdf[label].iloc[:cut].nunique() > 1:
+                pdf, late = pdf.iloc[:cut], pdf.iloc[cut:]
         x = pdf[cols].astype(float)
         middle = x.median().fillna(0.0)
         x = x.fillna(middle)
         mean, std = x.mean(), x.std(ddof=0).replace(0, 1.0)
-        a = np.column_stack([np.ones(len(x)), (x - mean) / std])
+        design = lambda rows: np.column_stack([np.ones(len(rows)), (rows[cols].astype(float).fillna(middle) - mean) / std])
+        a = design(pdf)
         y, w = pdf[label].to_numpy(float), np.zeros(a.shape[1])
         ridge = np.diag([0.0] + [1.0] * len(cols))
         for _ in range(25):
@@ -136,18 +146,41 @@ def group_models(train: DataFrame, test: DataFrame, by: str, features: Sequence[
             w += step
             if np.abs(step).max() < 1e-8:
                 break
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "w": [w.tolist()], "mean": [mean.tolist()], "std": [std.tolist()], "middle": [middle.tolist()]})
+        at, to = isotonic_steps(1 / (1 + np.exp(-design(late) @ w)), late[label].to_numpy(float)) if len(late) else ([], [])
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "w": [w.tolist()], "mean": [mean.tolist()], "std": [std.tolist()], "middle": [middle.tolist()], "at": [list(at)], "to": [list(to)]})
 
     kind = train.schema[by].dataType.simpleString()
-    rows = train.join(use, by, "left_semi").select(by, label, *cols)
-    fitted = rows.groupBy(by).applyInPandas(fit, f"{by} {kind}, w array<double>, mean array<double>, std array<double>, middle array<double>")
+    rows = train.join(use, by, "left_semi").select(by, label, *cols, *([date] if date else []))
+    fitted = rows.groupBy(by).applyInPandas(fit, f"{by} {kind}, w array<double>, mean array<double>, std array<double>, middle array<double>, at array<double>, to array<double>")
     terms = [F.col("w")[i + 1] * (F.coalesce(F.col(c).cast("double"), F.col("middle")[i]) - F.col("mean")[i]) / F.col("std")[i] for i, c in enumerate(cols)]
     logit = reduce(lambda a, b: a + b, terms, F.col("w")[0])
     out = test.join(known, by, "left").join(fitted, by, "left").withColumn("group_score", F.when(F.col("w").isNotNull(), 1 / (1 + F.exp(-logit))))
-    out = out.drop("w", "mean", "std", "middle")
+    out = out.withColumn("group_score", F.when(F.size("at") > 0, _on_steps(F.col("group_score"), F.col("at"), F.col("to"))).otherwise(F.col("group_score")))
+    out = out.drop("w", "mean", "std", "middle", "at", "to")
     return out.withColumn("score", F.coalesce("group_score", fallback)) if fallback else out
 
 
+def isotonic_steps(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct scores in order and the least-squares monotone means of the labels there: neighbours that fall are pooled."""
+    at, place = np.unique(p, return_inverse=True)
+    n, total = np.bincount(place).astype(float), np.bincount(place, weights=y)
+    pools: list[list[float]] = []
+    for size, s in zip(n, total, strict=True):
+        pools.append([size, s, 1])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][0] >= pools[-1][1] / pools[-1][0]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    return at, np.concatenate([np.full(int(k), s / size) for size, s, k in pools])
+
+
+def _on_steps(p: Column, at: Column, to: Column) -> Column:
+    """Linear between the steps, and level beyond the first and the last."""
+    i = F.size(F.filter(at, lambda x: x <= p))
+    low, high = F.greatest(i, F.lit(1)), F.least(i + 1, F.size(at))
+    x0, x1, y0, y1 = F.element_at(at, low), F.element_at(at, high), F.element_at(to, low), F.element_at(to, high)
+    return F.when(x1 > x0, y0 + (y1 - y0) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (p - x0) / (x1 - x0)))).otherwise(y0)
+
+
 def fit_fusion(train: DataFrame, features: Sequence[str], label: str, calibration: DataFrame) -> tuple[PipelineModel, IsotonicRegressionModel]:
     """A logistic model over the base models' out-of-fold scores, calibrated on the last time fold."""
     model = fit_logistic(train, features, label)

@@ -299,21 +299,23 @@ def _training(spark, d):
 def l5(spark, d):
     rows = _training(spark, d)
     train, test = (rows.where(F.col("role") == r).drop("role") for r in ("train", "test"))
-    metrics, _, _ = models.train_and_evaluate(train, test, FEATURES, "y", models.fit_logistic, "row", "logistic", n_folds=2)
+    metrics, _, _ = models.train_and_evaluate(train, test, FEATURES, "y", models.fit_logistic, "row", "logistic")
     return models.ablation_table(metrics)
 
 
 @query("l10_materialize_scores")
 def l10(spark, d):
     rows = _training(spark, d)
-    model = models.fit_gbt(rows.where("role = 'train'"), FEATURES, "y", rounds=5)
+    model = models.fit_gbt(rows.where("role = 'train'"), FEATURES, "y", rounds=20)
     return models.materialize_scores(rows.drop("role"), model, "v1", FEATURES)
 
 
 @query("l6_group_models")
 def l6(spark, d):
-    rows = _training(spark, d).withColumn("borough", (F.col("nta_id") % 5).cast("int")).withColumn("prior", F.lit(0.5))
-    out = models.group_models(rows.where("role = 'train'").drop("role"), rows.where("role = 'test'").drop("role"), "borough", FEATURES, "y", fallback="prior")
+    rows = _training(spark, d).withColumn("borough", (F.col("nta_id") % 5).cast("int"))
+    common = models.fit_logistic(rows.where("role = 'train'"), FEATURES, "y")  # for groups without a model
+    rows = models.positive_score(common.transform(rows), "prior")
+    out = models.group_models(rows.where("role = 'train'").drop("role"), rows.where("role = 'test'").drop("role"), "borough", FEATURES, "y", fallback="prior", date="week_start")
     return out.select("row", "borough", "status", F.round("score", 6).alias("score"))
 
 
@@ -385,7 +387,7 @@ def l7(spark, d):
 @query("l8_mlp")
 def l8(spark, d):
     rows = _training(spark, d)
-    model = models.fit_mlp(rows.where("role = 'train'"), FEATURES, "y", hidden=(8,))
+    model = models.fit_mlp(rows.where("role = 'train'"), FEATURES, "y")
     return models.positive_score(model.transform(rows.where("role = 'test'"))).select("row", F.round("score", 4).alias("score"))
 
 

@@ -95,6 +95,19 @@ def test_null_keys_are_inserted_once(spark):
     assert corpus.upsert_chunks(chunks, chunks.withColumn("v", F.lit(2))).first().v == 1
 
 
+def test_group_models_are_calibrated_on_their_last_rows(spark):
+    at, to = models.isotonic_steps(np.array([0.1, 0.2, 0.2, 0.5, 0.7, 0.9]), np.array([0, 1, 0, 0, 1, 1]))
+    assert at.tolist() == [0.1, 0.2, 0.5, 0.7, 0.9] and to.tolist() == pytest.approx([0, 1 / 3, 1 / 3, 1, 1])
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=400)
+    rows = [("g", w, float(v), float(rng.random() < 1 / (1 + np.exp(-3 * v)))) for v, w in zip(x, weeks(400), strict=True)]
+    df = spark.createDataFrame(rows, "g string, week_start date, x double, y double")
+    got = models.group_models(df, df, "g", ["x"], "y", date="week_start").toPandas().sort_values("x")
+    assert got["group_score"].is_monotonic_increasing and got["group_score"].between(0, 1).all()
+    late = got.sort_values("week_start").tail(80)
+    assert abs(late["group_score"].mean() - late["y"].mean()) < 1e-6  # monotone means keep the sum
+
+
 def test_exact_quantiles(spark):
     rng = random.Random(4)
     for n in (0, 1, 2, 7, 500):
