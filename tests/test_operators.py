@@ -349,3 +349,85 @@ def test_files(spark, tmp_path):
     df = spark.createDataFrame([("A", D(2024, 1, 1), 0.5)], "nta_id string, week_start date, score double")
     store.write_oof(df, str(tmp_path / "oof"))
     assert store.read_oof(spark, str(tmp_path / "oof")).collect() == df.select("nta_id", "week_start", "score").collect()
+
+
+def _two_classes(spark, n=400):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, 3))
+    y = (x[:, 0] > 0.3).astype(float)
+    rows = [(i, float(a), float(b), float(c), float(t)) for i, ((a, b, c), t) in enumerate(zip(x, y, strict=True))]
+    return spark.createDataFrame(rows, "id int, a double, b double, c double, y double"), x, y
+
+
+def test_boosted_trees_and_importances(spark):
+    df, _, y = _two_classes(spark)
+    model = models.fit_gbt(df, ["a", "b", "c"], "y", rounds=10)
+    got = models.positive_score(model.transform(df)).orderBy("id").toPandas()["score"].to_numpy()
+    assert ((got > 0.5) == (y > 0)).mean() > 0.98
+    top = models.tree_importances(df, model, 2).collect()
+    assert [r.feature for r in top][0] == "a" and top[0].importance > 0.8 and len(top) == 2
+
+
+def test_shallow_network_separates(spark):
+    df, _, y = _two_classes(spark)
+    model = models.fit_mlp(df, ["a", "b", "c"], "y", hidden=(8, 4))
+    got = models.positive_score(model.transform(df)).orderBy("id").toPandas()["score"].to_numpy()
+    assert ((got > 0.5) == (y > 0)).mean() > 0.97
+
+
+def test_logistic_equals_newton(spark):
+    """Ridge logistic regression on standardised features, by Newton's method; attributions add up to the logit."""
+    df, x, y = _two_classes(spark)
+    rng = np.random.default_rng(5)
+    y = (rng.random(len(y)) < 1 / (1 + np.exp(-x[:, 0] - 0.5 * x[:, 1]))).astype(float)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))], "id int, a double, b double, c double, y double")
+    model = models.fit_logistic(df, ["a", "b", "c"], "y")
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    a, w = np.column_stack([np.ones(len(z)), z]), np.zeros(4)
+    ridge = np.diag([0.0, 1.0, 1.0, 1.0])
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-a @ w))
+        w += np.linalg.solve((a * (q * (1 - q))[:, None]).T @ a + ridge, a.T @ (y - q) - ridge @ w)
+    got = models.positive_score(model.transform(df)).orderBy("id").toPandas()["score"].to_numpy()
+    assert np.abs(got - 1 / (1 + np.exp(-a @ w))).max() < 1e-4
+    told = models.linear_attribution(df, model, ["a", "b", "c"], 2).orderBy("id").collect()
+    sums = np.array([sum(c.contribution for c in r.contributions) for r in told])
+    assert np.abs(sums + model.stages[-1].intercept - np.log(got / (1 - got))).max() < 1e-6
+    assert all(abs(r.top_factors[0]["contribution"]) >= abs(r.top_factors[1]["contribution"]) for r in told)
+
+
+def test_principal_components_equal_svd(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 5)) @ np.diag([5, 3, 2, 1, 0.5]) + 7
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "nta_id int, v array<double>")
+    out, shares = models.pca_embeddings(df, "v", 3)
+    got = np.array([r.pca for r in out.orderBy("nta_id").collect()])
+    u, s, _ = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.abs(np.abs(got) - np.abs(u[:, :3] * s[:3])).max() < 1e-6
+    assert shares == pytest.approx((s**2 / (s**2).sum())[:3].tolist())
+
+
+def test_callers_own_forecaster(spark):
+    import pandas as pd
+
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), ("b", 1, 5.0)], "nta_id string, t int, v double")
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"nta_id": [pdf["nta_id"].iloc[0]], "p50": [pdf.sort_values("t")["v"].iloc[-1]]})
+
+    assert sorted(map(tuple, forecast.forecast_with(df, "nta_id", last, "nta_id string, p50 double").collect())) == [("a", 4.0), ("b", 5.0)]
+
+
+def test_recursive_split_keeps_all_words_within_size(spark):
+    rng = random.Random(9)
+    texts = ["\n\n".join(" ".join("w" * rng.randint(1, 30) for _ in range(rng.randint(1, 120))) + "." for _ in range(rng.randint(1, 12))) for _ in range(12)] + ["".join(rng.choice("abcdefgh") for _ in range(5000)), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for i, text in enumerate(texts):
+        parts = [r.content for r in corpus.split_recursive(df.where(f"doc_id = {i}"), 400, 80).orderBy("part").collect()]
+        assert all(0 < len(p) <= 400 for p in parts) and bool(parts) == bool(text)
+        at = 0
+        for p in parts:  # each piece stands in the text, none begins beyond the end of what is covered
+            begin = (text or "").find(p, max(0, at - 480))
+            assert 0 <= begin and not (text[at:begin].strip() if begin > at else "")
+            at = max(at, begin + len(p))
+        assert not (text or "")[at:].strip()
