@@ -38,6 +38,30 @@ CROSS_REFERENCE = r"(?i)(§\s*\d+[.\-]\w+(?:\([a-z\d]+\))*|Article\s+\d+|Title\s
 SECTION_REFERENCE = r"§\s*\d+[.\-]\d+[\w.]*(?:\([a-z\d]+\))*"
 
 
+#: The wording of search queries and of prompts.
+QUERY_WORDS = {
+    "area": "NYC rat risk NTA ",
+    "score": ": risk score ",
+    "factors": ". Top risk factors: ",
+    "question": ". What are the relevant health code regulations, seasonal patterns, and mitigation actions?",
+}
+PROMPT_WORDS = {
+    "area": "NTA: ",
+    "week": "Week: ",
+    "score": "Current risk score: ",
+    "decile": " (decile ",
+    "of_ten": "/10)",
+    "factors": "Top contributing factors:",
+    "up": " increases",
+    "down": " decreases",
+    "contribution": " risk (SHAP=",
+    "forecast": "12-week forecast trend (p50 risk score):",
+    "last_week": "  - … → ",
+    "passages": "Relevant context (from NYC policy and public health sources):",
+    "task": "Please write a 2–3 sentence risk summary for this NTA that a resident or building owner would find useful.",
+}
+
+
 def word_count(text: Column) -> Column:
     clean = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(clean == "", 0).otherwise(F.size(F.split(clean, " ")))
@@ -94,8 +118,8 @@ def retrieval_query(area: Column, score: Column, factors: Column, n: int = 3) ->
     """A search query for an area from its score and leading factors."""
     names = F.array_join(F.transform(F.slice(factors, 1, n), lambda f: f["readable"]), ", ")
     return F.concat(
-        F.lit("NYC rat risk NTA "), area, F.lit(": risk score "), F.format_string("%.2f", score), F.lit(". Top risk factors: "), names,
-        F.lit(". What are the relevant health code regulations, seasonal patterns, and mitigation actions?"),
+        F.lit(QUERY_WORDS["area"]), area, F.lit(QUERY_WORDS["score"]), F.format_string("%.2f", score), F.lit(QUERY_WORDS["factors"]), names,
+        F.lit(QUERY_WORDS["question"]),
     )
 
 
@@ -103,26 +127,26 @@ def summary_prompt(area: Column, week: Column, score: Column, decile: Column, fa
     """A prompt for a short summary: factors, the first four forecast weeks and the last, passages of 600 characters."""
     factor_lines = F.transform(
         F.slice(factors, 1, n),
-        lambda f: F.concat(F.lit("  - "), f["readable"], F.when(f["direction"] == "up", " increases").otherwise(" decreases"), F.lit(" risk (SHAP="), F.format_string("%+.4f", f["contribution"]), F.lit(")")),
+        lambda f: F.concat(F.lit("  - "), f["readable"], F.when(f["direction"] == "up", PROMPT_WORDS["up"]).otherwise(PROMPT_WORDS["down"]), F.lit(PROMPT_WORDS["contribution"]), F.format_string("%+.4f", f["contribution"]), F.lit(")")),
     )
     week_line = lambda mark, r: F.concat(F.lit(mark), r["forecast_week"].cast("string"), F.lit(": "), F.format_string("%.3f", r["p50"]))
     weeks = F.concat(
         F.transform(F.slice(forecast, 1, 4), lambda r: week_line("  - ", r)),
-        F.when(F.size(forecast) > 4, F.array(week_line("  - … → ", F.element_at(forecast, -1)))).otherwise(F.array().cast("array<string>")),
+        F.when(F.size(forecast) > 4, F.array(week_line(PROMPT_WORDS["last_week"], F.element_at(forecast, -1)))).otherwise(F.array().cast("array<string>")),
     )
     passages = F.transform(chunks, lambda c: F.concat(F.lit("\n["), c["citation"], F.lit("]\n"), F.substring(c["content"], 1, 600)))
     some = lambda cond, head, lines: F.when(cond, F.concat(F.array(F.lit(""), F.lit(head)), lines)).otherwise(F.array().cast("array<string>"))
     lines = F.concat(
         F.array(
-            F.concat(F.lit("NTA: "), area),
-            F.concat(F.lit("Week: "), week.cast("string")),
-            F.concat(F.lit("Current risk score: "), F.format_string("%.3f", score), F.lit(" (decile "), decile.cast("string"), F.lit("/10)")),
+            F.concat(F.lit(PROMPT_WORDS["area"]), area),
+            F.concat(F.lit(PROMPT_WORDS["week"]), week.cast("string")),
+            F.concat(F.lit(PROMPT_WORDS["score"]), F.format_string("%.3f", score), F.lit(PROMPT_WORDS["decile"]), decile.cast("string"), F.lit(PROMPT_WORDS["of_ten"])),
             F.lit(""),
-            F.lit("Top contributing factors:"),
+            F.lit(PROMPT_WORDS["factors"]),
         ),
         factor_lines,
-        some(F.size(forecast) > 0, "12-week forecast trend (p50 risk score):", weeks),
-        some(F.size(chunks) > 0, "Relevant context (from NYC policy and public health sources):", passages),
-        F.array(F.lit(""), F.lit("Please write a 2–3 sentence risk summary for this NTA that a resident or building owner would find useful.")),
+        some(F.size(forecast) > 0, PROMPT_WORDS["forecast"], weeks),
+        some(F.size(chunks) > 0, PROMPT_WORDS["passages"], passages),
+        F.array(F.lit(""), F.lit(PROMPT_WORDS["task"])),
     )
     return F.array_join(lines, "\n")
