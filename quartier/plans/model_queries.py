@@ -69,7 +69,7 @@ def l10(spark, d):
 g AS (SELECT CASE WHEN borough = 4 THEN 9 ELSE borough END AS borough, count(*) AS n, count(DISTINCT CASE WHEN borough = 2 THEN 0 ELSE y END) AS classes FROM r WHERE NOT test GROUP BY ALL),
 m AS (SELECT max(n) AS most FROM g)
 SELECT "row", r.borough, CASE WHEN g.n IS NULL THEN 'skipped_no_training' WHEN g.n > most - 1 THEN 'skipped_too_large' WHEN classes < 2 THEN 'skipped_one_class' ELSE 'ok' END AS status,
-  CASE WHEN coalesce(g.n <= most - 1 AND classes = 2, false) THEN NULL ELSE 0.5 END AS fallback FROM r LEFT JOIN g ON g.borough = r.borough, m WHERE test""")
+  CASE WHEN coalesce(g.n <= most - 1 AND classes = 2, false) THEN NULL ELSE 0.5::DOUBLE END AS fallback FROM r LEFT JOIN g ON g.borough = r.borough, m WHERE test""")
 def l6(spark, d):
     """Which groups get a model: one is too large, one has a single class, one has no training rows; those fall back."""
     rows = scoring_queries._training(spark, d).withColumn("borough", (F.col("nta_id") % 5).cast("int")).withColumn("prior", F.lit(0.5))
