@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fim, language, language_model, near_dup, sharding, suffix_dedup, token_counts, urls, vectors
+from . import bpe, clusters, decontaminate, fim, language, language_model, near_dup, sharding, suffix_dedup, token_counts, urls, vectors
 
 QUERIES = {
     "op1_near_dedup": near_dup.op1_near_dedup,
@@ -17,10 +17,12 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_lm_scoring": language_model.op10_lm_scoring,
     "op10_lm_scoring_order_three": language_model.op10_lm_scoring_order_three,
+    "op11_centroid_clusters": clusters.op11_centroid_clusters,
     "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op7_url_rules": urls.OP7_SQL,
     "op8_exact_top_k": vectors.OP8_SQL,
+    "op11_centroid_clusters": clusters.OP11_SQL,
     "op13_fill_in_middle": fim.OP13_SQL,
 }
