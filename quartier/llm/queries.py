@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, clusters, decontaminate, fim, language, language_model, near_dup, sharding, suffix_dedup, token_counts, urls, vectors
+from . import bpe, clusters, decontaminate, embedding_dedup, fim, language, language_model, near_dup, sharding, suffix_dedup, token_counts, urls, vectors
 
 QUERIES = {
     "op1_near_dedup": near_dup.op1_near_dedup,
@@ -18,11 +18,13 @@ QUERIES = {
     "op10_lm_scoring": language_model.op10_lm_scoring,
     "op10_lm_scoring_order_three": language_model.op10_lm_scoring_order_three,
     "op11_centroid_clusters": clusters.op11_centroid_clusters,
+    "op12_embedding_dedup": embedding_dedup.op12_embedding_dedup,
     "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op7_url_rules": urls.OP7_SQL,
     "op8_exact_top_k": vectors.OP8_SQL,
     "op11_centroid_clusters": clusters.OP11_SQL,
+    "op12_embedding_dedup": embedding_dedup.OP12_SQL,
     "op13_fill_in_middle": fim.OP13_SQL,
 }
