@@ -333,12 +333,14 @@ def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP12_SQL = """
-WITH RECURSIVE v AS MATERIALIZED (
-  SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e,
-         coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS part
-  FROM embeddings
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), m AS (
+  SELECT *, CASE WHEN len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 THEN list_max(list_transform(e, lambda x: abs(x))) END AS most FROM t
+), v AS MATERIALIZED (
+  SELECT rid, vec_id, CASE WHEN most > 0 THEN list_transform(e, lambda x: x / most) END AS e FROM m
 ), p AS MATERIALIZED (
-  SELECT a.rid AS a, b.rid AS b FROM v a JOIN v b ON a.part AND b.part AND a.rid <> b.rid AND len(a.e) = len(b.e)
+  SELECT a.rid AS a, b.rid AS b FROM v a JOIN v b ON a.rid <> b.rid AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.9
 ), reach AS (
   SELECT rid, rid AS other FROM v
