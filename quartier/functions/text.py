@@ -62,9 +62,17 @@ PROMPT_WORDS = {
 }
 
 
+#: Any Unicode space, and the four separators that count as spaces too.
+SPACES = r"(?U)[\s\x1C-\x1F]+"
+
+
+def words(text: Column) -> Column:
+    """What stands between spaces, no-break and ideographic ones included."""
+    return F.filter(F.split(text, SPACES), lambda w: w != "")
+
+
 def word_count(text: Column) -> Column:
-    clean = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(clean == "", 0).otherwise(F.size(F.split(clean, " ")))
+    return F.when(text.isNotNull(), F.size(words(text)))
 
 
 def token_count(text: Column, factor: float = 1.3) -> Column:

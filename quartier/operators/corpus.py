@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import uuid5, version_hash
-from ..functions.text import contextual_prefix, cross_refs, defined_terms, token_count
+from ..functions.text import contextual_prefix, cross_refs, defined_terms, token_count, words
 from ..sources.store import upsert
 
 #: Fixed patterns: a section mark at the start of a line, and a paragraph mark such as (a), (1) or (iv).
@@ -70,8 +70,7 @@ def chunk_sections(sections: DataFrame, max_tokens: int = 600, overlap: float =
     has paragraphs also as one ``(parent)`` chunk, cut short."""
     size, lap = max(1, int(max_tokens * 0.75)), int(max(1, int(max_tokens * overlap)) * 0.75)
     leaf = sections.where(~F.col("has_children"))
-    words = F.filter(F.split(F.trim("content"), r"\s+"), lambda w: w != "")
-    pieces = F.when(token_count(F.col("content")) <= max_tokens, F.array("content")).otherwise(_windows(words, size, lap))
+    pieces = F.when(token_count(F.col("content")) <= max_tokens, F.array("content")).otherwise(_windows(words(F.col("content")), size, lap))
     parts = leaf.select("*", F.posexplode(pieces).alias("part", "piece"))
     suffix = F.when(F.col("part") > 0, F.concat(F.lit("(part "), (F.col("part") + 1).cast("string"), F.lit(")"))).otherwise("")
     keep = ["doc_id", "position"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import indicator, safe_rate
+from ..functions.text import word_count
 
 
 def attach_area(facts: DataFrame, lots: DataFrame, key: str = "bbl", area: str = "nta_id") -> DataFrame:
@@ -90,9 +91,8 @@ def expand_parents(hits: DataFrame, chunks: DataFrame, budget: int = 4000) -> Da
     hits: (query_id, rank, chunk_id, parent_chunk_id, content, content_with_prefix). A parent that doesn't fit is skipped, and later
     ones may still fit, so acceptance is a fold over each query's few ranked hits.
     """
-    words = lambda c: F.when(F.trim(c) == "", 0).otherwise(F.size(F.split(F.trim(c), r"\s+")))
     parents = chunks.select(F.col("chunk_id").alias("parent_chunk_id"), F.col("content_with_prefix").alias("_parent"))
-    rows = hits.join(parents, "parent_chunk_id", "left").withColumns({"_own": words(F.col("content")), "_extra": words(F.col("_parent"))})
+    rows = hits.join(parents, "parent_chunk_id", "left").withColumns({"_own": word_count(F.col("content")), "_extra": word_count(F.col("_parent"))})
     entry = F.struct("rank", "_extra")
     per_query = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("_h"), F.sum("_own").alias("_sum"))
 

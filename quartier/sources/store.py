@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
@@ -98,7 +99,7 @@ SPAN_SCHEMA = (
 def read_spans(spark: SparkSession, path: str, schema: str = SPAN_SCHEMA) -> DataFrame:
     """Spans, one JSON object a line, with start time and duration; lines that are no spans go."""
     rows = spark.read.schema(schema).json(path).where("span_id IS NOT NULL")
-    return rows.withColumns({"ts": F.timestamp_micros(F.floor(F.col("start_time_ns") / 1000).cast("long")), "duration_ms": (F.col("end_time_ns") - F.col("start_time_ns")) / 1e6})
+    return rows.withColumns({"ts": F.timestamp_micros(F.expr("(start_time_ns - pmod(start_time_ns, 1000)) div 1000")), "duration_ms": (F.col("end_time_ns") - F.col("start_time_ns")) / 1e6})
 
 
 #: Columns of one evaluation question.
@@ -123,22 +124,29 @@ def read_oof(spark: SparkSession, path: str, value: str = "score") -> DataFrame:
     return spark.read.parquet(path).select(parts[0].alias("nta_id"), F.try_to_date(parts[1]).alias("week_start"), F.col("value").alias(value))
 
 
+INDEX_SCHEMA = "name string, version string, metadata string, number long, saved_ns long"
+
+
 def registry_save(model: PipelineModel, path: str, name: str, version: str, metadata: Mapping | None = None) -> None:
-    """Adds a model version, and a row about it in the index."""
+    """Adds a model version, and a row about it in the index, numbered in the order of saving."""
     spark = SparkSession.active()
     model.write().save(f"{path}/models/{name}/{version}")
-    row = spark.range(1).select(F.lit(name).alias("name"), F.lit(version).alias("version"), F.lit(json.dumps(metadata or {})).alias("metadata"))
-    row.write.mode("append").parquet(f"{path}/index")
+    empty = spark.createDataFrame([], INDEX_SCHEMA)
+    empty.write.mode("ignore").parquet(f"{path}/index")
+    last = registry_list(spark, path).where(F.col("name") == name).agg(F.max("number")).first()[0]
+    row = [(name, version, json.dumps(metadata or {}), (last or 0) + 1, time.time_ns())]
+    spark.createDataFrame(row, INDEX_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/index")
 
 
 def registry_list(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/index")
+    """(name, version, metadata, number, saved_ns) of all versions."""
+    return spark.read.schema(INDEX_SCHEMA).parquet(f"{path}/index")
 
 
 def registry_load(spark: SparkSession, path: str, name: str, version: str | None = None) -> PipelineModel:
-    """A model by name: the given version or the greatest. KeyError if there is none."""
+    """A model by name: the given version or the one saved last. KeyError if there is none."""
     rows = registry_list(spark, path).where(F.col("name") == name)
-    found = version or rows.agg(F.max("version")).first()[0]
+    found = version or rows.agg(F.max_by("version", F.struct("number", "saved_ns"))).first()[0]
     if found is None or rows.where(F.col("version") == found).isEmpty():
         raise KeyError(name if version is None else f"{name} {version}")
     return PipelineModel.load(f"{path}/models/{name}/{found}")

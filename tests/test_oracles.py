@@ -27,7 +27,7 @@ def plain(df: pd.DataFrame) -> list:
             return "null"
         if isinstance(x, numbers.Number) and not isinstance(x, bool | np.bool_):  # columns with nulls are floats on one side
             return f"{float(x):.5f}"
-        return str(x)[:10] if hasattr(x, "year") else str(x)
+        return pd.Timestamp(x).isoformat() if hasattr(x, "year") else str(x)  # a date is its midnight
 
     df = df[sorted(df.columns)]
     return sorted([cell(x) for x in row] for row in df.itertuples(index=False))
