@@ -7,36 +7,21 @@ polygons are unit squares on a five by five grid.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import week_start
 from ..operators import aggregates, joins, series
+from ..sources.work import folder as scratch
+from ..sources.work import stored
+
+__all__ = ["scratch", "stored"]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder of spark.checkpoint.dir; where that is unset and Spark runs on one machine, in /tmp."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file:///tmp/spark-shared-{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to a new folder and read again, for what several jobs use."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lots(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("bbl"), F.col("c_nationkey").alias("nta_id"), "c_acctbal", "c_mktsegment")
 
