@@ -8,11 +8,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import work
 from .joins import expand_parents as put_parents
 from .ranking import top_n
 
@@ -37,40 +39,54 @@ def embed(df: DataFrame, text: str, encoder: Encoder | None = None, out: str = "
     return unit.withColumn(out, vector_to_array("_n", "float32")).drop("_t", "_tf", "_n")
 
 
-def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30, block: int = 4096, query: str = "query_id", chunk: str = "chunk_id", vec: str = "embedding") -> DataFrame:
+#: Bytes of chunk vectors that are compared with one block of queries after the other.
+HELD = 1 << 25
+
+
+def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30, block: int = 1024, query: str = "query_id", chunk: str = "chunk_id", vec: str = "embedding") -> DataFrame:
     """(query_id, rank, chunk_id, score): the k chunks with the greatest cosine for each query, ties to the smaller id.
 
-    Queries are a stated batch and handled in blocks of a fixed number; each batch of chunks answers with its own k best for each, and those that
-    tie with them. Vectors are compared with those of their own length.
+    Queries are a stated batch, written to the shared folder in blocks of about ``block``. A task reads one block after the other, and each run of chunks
+    answers with its own k best for each query and those that tie with them. Vectors are compared with those of their own length.
     """
-    blocks = max(1, -(-queries.count() // block))
-    kinds = f"query_id {queries.schema[query].dataType.simpleString()}, chunk_id {chunks.schema[chunk].dataType.simpleString()}, score double"
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    found = []
-    for number in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == number).select(query, vec).dropna().toPandas()
-        if not len(mine):
-            continue
-        lengths = mine[vec].map(len).to_numpy()
-        parts = {int(n): (mine[query].to_numpy()[lengths == n], unit(np.array(mine[vec][lengths == n].tolist(), np.float64).reshape(-1, n))) for n in np.unique(lengths)}
-
-        def scan(batches: Iterator[pd.DataFrame], parts=parts) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                lengths = pdf["v"].map(len).to_numpy(np.int64)
-                for n in np.unique(lengths).tolist():
-                    if n not in parts:
+    asked = queries.select(F.col(query).alias("q"), F.col(vec).alias("v")).dropna()
+    kinds = f"query_id {asked.schema['q'].dataType.simpleString()}, chunk_id {chunks.schema[chunk].dataType.simpleString()}, score double"
+    files = work.blocks(asked, block, "query-blocks")
+
+    def matrices(table: pa.Table | pa.RecordBatch, ids: str) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+        table = pa.Table.from_batches([table]) if isinstance(table, pa.RecordBatch) else table
+        lengths = table.column("v").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        for n in np.unique(lengths).tolist():
+            some = table.filter(pa.array(lengths == n))
+            m = some.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+            yield n, some.column(ids).combine_chunks(), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    def answers(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        for n, ids, vectors in matrices(held, "c"):
+            for file in files:
+                for length, asks, matrix in matrices(work.read_block(file), "q"):
+                    if length != n:
                         continue
-                    (ids, matrix), some = parts[n], pdf[lengths == n].sort_values("c", kind="stable")
-                    scores = np.round(matrix @ unit(np.array(some["v"].tolist(), np.float64).reshape(-1, n)).T, 9)
-                    # whatever reaches the k-th score may be among the k best, ties too
-                    kth = np.partition(scores, -k, axis=1)[:, -k, None] if scores.shape[1] > k else -np.inf
-                    row, best = np.nonzero(scores >= kth)
-                    yield pd.DataFrame({"query_id": ids[row], "chunk_id": some["c"].to_numpy()[best], "score": scores[row, best]})
-
-        found.append(chunks.select(F.col(chunk).alias("c"), F.col(vec).alias("v")).dropna().mapInPandas(scan, kinds))
-    if not found:
-        return queries.sparkSession.createDataFrame([], kinds.replace("chunk_id", "rank int, chunk_id", 1))
-    return top_n(reduce(DataFrame.unionByName, found), ["query_id"], ["-score", "chunk_id"], k).select("query_id", "rank", "chunk_id", "score")
+                    for at in range(0, len(vectors), 4096):
+                        scores = np.round(matrix @ vectors[at : at + 4096].T, 9)
+                        # whatever reaches the k-th score may be among the k best, ties too
+                        kth = np.partition(scores, -k, axis=1)[:, -k, None] if scores.shape[1] > k else -np.inf
+                        row, best = np.nonzero(scores >= kth)
+                        yield pa.RecordBatch.from_arrays([asks.take(pa.array(row)), ids.take(pa.array(at + best)), pa.array(scores[row, best])], names=["query_id", "chunk_id", "score"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= HELD:
+                yield from answers(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from answers(pa.Table.from_batches(held))
+
+    found = chunks.select(F.col(chunk).alias("c"), F.col(vec).alias("v")).dropna().mapInArrow(scan, kinds)
+    return top_n(found, ["query_id"], ["-score", "chunk_id"], k).select("query_id", "rank", "chunk_id", "score")
 
 
 @dataclass
