@@ -158,16 +158,23 @@ def expand_query(queries: DataFrame, synonyms: DataFrame, text: str = "text") ->
     return out.withColumn(text, F.when(F.col("_more").isNull(), F.col(text)).otherwise(F.concat_ws(" ", text, F.array_join("_more", " ")))).drop("_more")
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, lexical_only: bool = False, top_k_dense: int = 30, top_k_lexical: int = 30, top_k_fused: int = 40, top_k: int = 6, expand_parents: bool = True, synonyms: DataFrame | None = None, scorer: Callable[[Column, Column], Column] | None = overlap_score, encoder: Encoder | None = None, budget: int = 4000) -> DataFrame:
+def retrieve(queries: DataFrame, corpus: DataFrame, lexical_only: bool = False, top_k_dense: int = 30, top_k_lexical: int = 30, top_k_fused: int = 40, top_k: int = 6, expand_parents: bool = True, synonyms: DataFrame | None = None, scorer: Callable[[Column, Column], Column] | None = overlap_score, encoder: Encoder | None = None, budget: int = 4000, lexical: str | None = None, vectors=None, probes: int = 8) -> DataFrame:
     """Expansion, dense and lexical search, fusion, re-ranking and parent texts, for (query_id, text) queries.
 
-    corpus: (chunk_id, content, content_with_prefix, and parent_chunk_id where parents are wanted).
+    corpus: (chunk_id, content, content_with_prefix, and parent_chunk_id where parents are wanted). ``lexical`` is the folder of a stored lexical index of
+    the corpus, which else is made for this call; ``vectors`` a stored vector index, of which each query probes some cells, and without which all vectors are compared.
     """
+    from . import lexical_store, vector_index
+
     asked = queries if synonyms is None else expand_query(queries, synonyms)
-    lists = [bm25_top_k(asked, lexical_index(corpus), top_k_lexical)]
+    if lexical is None:
+        lexical = work.folder(corpus.sparkSession, "lexical-index")
+        lexical_store.extend(corpus, lexical)
+    lists = [lexical_store.search(asked, lexical, top_k_lexical)]
     if not lexical_only:
-        vectors = embed(corpus, "content", encoder)
-        lists.insert(0, dense_top_k(embed(asked, "text", encoder), vectors, top_k_dense))
+        mine = embed(asked, "text", encoder)
+        dense = dense_top_k(mine, embed(corpus, "content", encoder), top_k_dense) if vectors is None else vector_index.search(mine, vectors, top_k_dense, probes)
+        lists.insert(0, dense)
     fused = rrf(lists, top_k=top_k_fused)
     hits = rerank(fused.join(queries.select("query_id", "text"), "query_id").join(corpus, "chunk_id"), scorer, top_k)
     return put_parents(hits, corpus, budget) if expand_parents and "parent_chunk_id" in corpus.columns else hits

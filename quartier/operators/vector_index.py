@@ -46,12 +46,12 @@ class VectorIndex:
 
 
 def unit_rows(df: DataFrame, key: str, vec: str, out: str = "id") -> DataFrame:
-    """(id, v): vectors scaled to length one, those that have one."""
+    """(id, raw, v): vectors as they are and scaled to length one, those that have one."""
     x = F.transform(vec, lambda c: c.cast("double"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    rows = df.where(F.col(vec).isNotNull()).select(F.col(key).alias(out), x.alias("v")).where(finite)
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(key).alias(out), F.col(vec).alias("raw"), x.alias("v")).where(finite)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
-    return rows.withColumn("_n", norm).where("_n > 0 AND _n < double('infinity')").select(out, F.transform("v", lambda c: c / F.col("_n")).alias("v"))
+    return rows.withColumn("_n", norm).where("_n > 0 AND _n < double('infinity')").select(out, "raw", F.transform("v", lambda c: c / F.col("_n")).alias("v"))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -87,7 +87,7 @@ def _add(vectors: DataFrame, index: VectorIndex, batch: int, key: str, vec: str,
     sizes = [(batch, r.cell, max(1, math.ceil(r.n / most))) for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most one row a cell
     known = spark.createDataFrame(sizes, "batch int, cell int, parts int")
     dealt = rows.join(F.broadcast(known), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("v", F.col("v").cast("array<float>")).drop("parts")
+    dealt = dealt.drop("parts", "v")
     # one file for each cell and part
     dealt.repartition(max(1, len(sizes)), "cell", "part").write.mode("overwrite").partitionBy("cell", "part").parquet(f"{index.path}/vectors/batch={batch}")
     known.coalesce(1).write.mode("append").parquet(f"{index.path}/parts")
@@ -134,7 +134,7 @@ def _best(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
 def search(queries: DataFrame, index: VectorIndex, k: int = 10, probes: int = 8, block: int = BLOCK, query: str = "query_id", vec: str = "embedding") -> DataFrame:
     """(query_id, rank, chunk_id, score): of the vectors in each query's nearest cells the k with the greatest cosine, ties to the smaller id."""
     spark = queries.sparkSession
-    asked = work.stored(_nearest(unit_rows(queries, query, vec, "q"), index.centres, min(probes, index.cells)), "probes")
+    asked = work.stored(_nearest(unit_rows(queries, query, vec, "q").drop("raw"), index.centres, min(probes, index.cells)), "probes")
     asks = {r.cell: r.n for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row a cell
     deals = [(b, c, p, blocks) for b, c, parts in _batches(spark, index.path) if c in asks for p in range(parts) for blocks in [math.ceil(asks[c] / block)]]
     known = spark.createDataFrame(deals, "batch int, cell int, part int, blocks int")
@@ -144,14 +144,15 @@ def search(queries: DataFrame, index: VectorIndex, k: int = 10, probes: int = 8,
     by = ["batch", "cell", "part", "block"]
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = asked.join(known, "cell").withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int")).select(*by, "q", "v")
-    right = stored.join(known, by[:3]).withColumn("block", every).select(*by, "id", "v")
+    right = stored.join(known, by[:3]).withColumn("block", every).select(*by, "id", "raw")
     kinds = f"query_id {asked.schema['q'].dataType.simpleString()}, chunk_id {stored.schema['id'].dataType.simpleString()}, score double"
 
     def meet(some: pa.Table, held: pa.Table) -> pa.Table:
         q_ids, ids = some.column("q").combine_chunks(), held.column("id").combine_chunks()
         if not len(q_ids) or not len(ids):
             return pa.table({"query_id": q_ids[:0], "chunk_id": ids[:0], "score": pa.array([], pa.float64())})
-        row, at, score = _best(_matrix(some.column("v")), _matrix(held.column("v")).astype(np.float64), k)
+        vectors = _matrix(held.column("raw")).astype(np.float64)
+        row, at, score = _best(_matrix(some.column("v")), vectors / np.linalg.norm(vectors, axis=1, keepdims=True), k)
         return pa.table({"query_id": q_ids.take(pa.array(row)), "chunk_id": ids.take(pa.array(at)), "score": score})
 
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, kinds)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import corpus, evaluation, joins, retrieval
+from ..operators import corpus, evaluation, joins, lexical_store, retrieval, vector_index
 from . import tables as t
 
 QUERIES: dict = {}
@@ -294,6 +294,48 @@ def r14(spark, d):
     return linked.select("item_id", (F.col("parent_chunk_id") == F.concat_ws("-", "document", F.lit("s"))).alias("linked"))
 
 
+@query("r7_index_all_cells", ORACLES["r7_dense_top_k"])
+def r7b(spark, d):
+    """A stored vector index, built of a half of the vectors and extended by the other; every cell is probed, so the answer is exact."""
+    e = t.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    index = vector_index.build(e.where("chunk_id % 2 = 0"), t.scratch(spark, "vector-index"))
+    vector_index.extend(e.where("chunk_id % 2 = 1"), index)
+    asked = e.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    return vector_index.search(asked, index, 10, index.cells).withColumn("score", F.round("score", 6))
+
+
+@query("r7_index_top_k")
+def r7c(spark, d):
+    """As many probes as find 0.95 of the neighbours of a bounded sample of the queries."""
+    e = t.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    index = vector_index.build(e, t.scratch(spark, "vector-index"))
+    asked = e.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    return vector_index.search(asked, index, 10, vector_index.probes_for(asked, index))
+
+
+def _lexical_store(spark, d):
+    """A stored lexical index of the documents, built of a third of them and extended twice."""
+    path = t.scratch(spark, "lexical-index")
+    for part in range(3):
+        lexical_store.extend(_chunks(spark, d).where(F.col("chunk_id") % 3 == part), path)
+    return path
+
+
+@query("r8_stored_index", ORACLES["r8_lexical_index"])
+def r8b(spark, d):
+    return lexical_store.terms(spark, _lexical_store(spark, d))
+
+
+@query("r9_stored_top_k", ORACLES["r9_bm25_top_k"].replace(ASKED, ASKED_WHOLE))
+def r9c(spark, d):
+    return lexical_store.search(_asked_whole(spark, d), _lexical_store(spark, d), 5).withColumn("score", F.round("score", 5))
+
+
+@query("r9_stored_all", ORACLES["r9_bm25_all"].replace(ASKED, ASKED_WHOLE))
+def r9d(spark, d):
+    return lexical_store.search(_asked_whole(spark, d), _lexical_store(spark, d), 5, "all").drop("score")
+
+
 #: The queries that ask with the first eight words, asked with whole items.
 for _name, _query in {"r9_bm25_top_k": r9, "r9_bm25_all": r9b, "r11_rerank": r11, "r12_expand_query": r12}.items():
     _sql = ORACLES[_name].replace(ASKED, ASKED_WHOLE).replace("array_to_string(string_split(text, ' ')[:8], ' ')", "text")

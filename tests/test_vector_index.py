@@ -29,9 +29,7 @@ def test_all_cells_give_the_exact_answer(spark, tmp_path, clustered):
         got = vector_index.search(queries, index, 10, 12, block)
         key = lambda r: (r.query_id, r.rank)
         a, b = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
-        assert [(r.query_id, r.rank) for r in a] == [(r.query_id, r.rank) for r in b]
-        assert max(abs(x.score - y.score) for x, y in zip(a, b, strict=True)) < 1e-5  # stored in single precision
-        assert sum(x.chunk_id == y.chunk_id for x, y in zip(a, b, strict=True)) > 0.99 * len(a)
+        assert [(r.query_id, r.rank, r.chunk_id, round(r.score, 7)) for r in a] == [(r.query_id, r.rank, r.chunk_id, round(r.score, 7)) for r in b]
 
 
 def test_few_probes_find_most_and_read_few_cells(spark, tmp_path, clustered):
@@ -63,7 +61,7 @@ def test_a_batch_without_its_list_does_not_count(spark, tmp_path, clustered):
     df = frame(spark, clustered[:200])
     index = vector_index.build(df, str(tmp_path / "i"), 4)
     df.limit(0).write.mode("ignore").parquet(f"{index.path}/vectors/batch=9/cell=0/part=0")
-    frame(spark, [(1, clustered[0][1])]).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("v")).write.mode("overwrite").parquet(f"{index.path}/vectors/batch=9/cell=0/part=0")
+    frame(spark, [(1, clustered[0][1])]).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("raw")).write.mode("overwrite").parquet(f"{index.path}/vectors/batch=9/cell=0/part=0")
     got = vector_index.search(df.limit(3).withColumnRenamed("chunk_id", "query_id"), index, 5, 4)
     assert got.count() == 15
     with pytest.raises(ValueError):
