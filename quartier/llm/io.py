@@ -40,6 +40,13 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or with underscores after it, as no column of the frame is called."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def crc_mod(key: str | Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n."""
     return F.crc32((F.col(key) if isinstance(key, str) else key).cast("string").cast("binary")) % n

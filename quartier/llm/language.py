@@ -8,7 +8,7 @@ fewest phrases a character wins.
 Text is lower-cased; runs of anything but letters become one space. A document is parsed whole, cut
 into pieces of ``PIECE`` characters that advance together, one step at a time; a phrase that crosses a cut counts twice, for every language alike.
 
-The sample is bounded: of each language, the texts with the smallest id hashes in ``SAMPLE_ROWS`` hash buckets,
+The sample is bounded: of each language, the texts with the smallest id hashes in ``SAMPLE_ROWS`` hash buckets, one row each,
 up to ``SAMPLE_CHARS`` characters of letters and spaces in all. Each text gives an equal share; what short texts leave of
 theirs goes to longer ones.
 
@@ -195,13 +195,16 @@ def sample(docs: DataFrame) -> dict[str, list[str]]:
 
     The least id hash of each language and hash bucket is found on the ids alone; then only those rows' texts are read.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id").alias("h"))
     least = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("bucket")).agg(F.min("h").alias("h"))
     hashes = [r.h for r in least.select("h").distinct().collect()]  # SAMPLE_ROWS a language at most
-    texts: dict[str, list[tuple[int, str]]] = {}
-    # letters and spaces only, and of no text more than the whole sample may hold, so that what is gathered is bounded
+    if not hashes:
+        return {}
+    # of rows that repeat an id one, whatever their number; letters and spaces only, and of no text more than the whole sample may hold
+    asked = rows.where(F.col("h").isin(hashes)).groupBy("lang", "h").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
     body = F.substring(F.regexp_replace("text", r"[^\p{L}]+", " "), 1, SAMPLE_CHARS + 1).alias("text")
-    for r in rows.where(F.col("h").isin(hashes)).select("lang", "h", body).distinct().collect() if hashes else []:
+    texts: dict[str, list[tuple[int, str]]] = {}
+    for r in asked.select("lang", "h", body).collect():
         texts.setdefault(r.lang, []).append((r.h, r.text))
     found = {lang: [t for _, t in sorted(held)] for lang, held in texts.items()}
     return {lang: held for lang, held in found.items() if any((letters(t) != 32).any() for t in held)}
@@ -228,7 +231,8 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFr
             io.trim()
             yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": []})
 
-    return docs.withColumn("_p", predict(text)).select(*docs.columns, "_p.lang_pred", "_p.score")
+    found = io.free_name(docs, "_p")
+    return docs.withColumn(found, predict(text)).select(*docs.columns, f"{found}.lang_pred", f"{found}.score")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,5 +244,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose text is of a language that the corpus has labels for."""
-    columns = docs.columns
-    return identify(docs, docs.where(F.coalesce(io.crc_mod("doc_id", 4) != 2, F.lit(True)))).where(F.col("lang_pred") != "und").select(*columns)
+    # a document travels as one struct, so that its columns keep names and values whatever they are called
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    found = identify(whole, docs.where(F.coalesce(io.crc_mod("doc_id", 4) != 2, F.lit(True))))
+    return found.where(F.col("lang_pred") != "und").select("doc.*")

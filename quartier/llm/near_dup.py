@@ -17,7 +17,7 @@ than n words have one shingle, the whole sequence; rows with a null id link othe
 rows alone has a null component_id and no kept row; rows that
 repeat an id are judged by their own texts and share the smallest id reached; an empty table gives an empty
 result; other columns are not read. The stage keeps one row of each group, by smallest id, null ids last, and every row with an empty set,
-with all columns as they are (none may be called ``_key``).
+with all columns as they are.
 """
 
 from __future__ import annotations
@@ -362,12 +362,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group, that with the smallest id: five-word shingles, similarity 0.8 or more."""
     found = near_duplicates(docs).where("key = keeper").groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.bool_or("empty").alias("empty"))
     found = io.written(found.select("key", F.expr("times = 1 OR empty").alias("whole")), "kept")
-    keyed = docs.withColumn("_key", _row_key())
+    name = io.free_name(docs, "_key")
+    keyed = docs.withColumn(name, _row_key())
 
     def held(keys: DataFrame) -> DataFrame:
-        return keyed.join(keys.select(F.col("key").alias("_key")).hint("merge"), "_key", "left_semi")
+        return keyed.join(keys.select(F.col("key").alias(name)).hint("merge"), name, "left_semi")
 
     kept = held(found.where("whole"))
     if not found.where("NOT whole").isEmpty():  # rows that repeat id and text
-        kept = kept.unionByName(held(found.where("NOT whole")).dropDuplicates(["_key"]))
+        kept = kept.unionByName(held(found.where("NOT whole")).dropDuplicates([name]))
     return kept.select(*docs.columns)

@@ -86,3 +86,14 @@ def test_every_sampled_letter_has_its_code():
     counts, _ = model.phrases(texts)
     assert [[brute(t, samples[k]) for k in "xy"] for t in texts] == counts.tolist()
     assert model.predict(texts)[0] == ["x", "y"]
+
+
+def test_a_hot_id_is_one_row_of_the_sample(spark):
+    """Thousands of labelled rows with no id, or with one and the same, are not gathered."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("the cat sat on mat "), F.col("id").cast("string"), F.repeat(F.lit("x"), F.col("id").cast("int") % 7)).alias("text"), F.lit("a").alias("lang"))
+    rows = rows.unionByName(rows.select(F.lit(7).cast("long").alias("doc_id"), "text", "lang"))
+    assert len(language.sample(rows)["a"]) == 2
+    again = language.sample(rows.repartition(5))
+    assert again == language.sample(rows)

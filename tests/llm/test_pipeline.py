@@ -64,3 +64,16 @@ def test_stages_take_odd_rows(spark):
     ids = [r.doc_id for r in got]
     assert ids.count(big) == 1 and ids.count(None) == 1 and not {77, 78, 79} & set(ids) and 80 in ids
     assert [r.text for r in got if r.doc_id is None] == ["the only one of its kind"] and all(len(r.ids) == r.n_tokens for r in got)
+
+
+def test_columns_named_like_the_stages_own_keep_their_values(spark):
+    path = "/root/testdata/sf0.001"
+    names = {"lang_pred": "a", "score": 2.5, "_p": "b", "_key": 3, "_batch": "c", "batch": 4, "key": "d", "ranges": 5}
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(40)
+    from pyspark.sql import functions as F
+
+    docs = docs.select("*", *[F.lit(v).alias(k) for k, v in names.items()]).coalesce(2)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = io.written(stage(spark, docs, path), "clash")
+        rows = docs.collect()
+        assert rows and all(r[k] == v for r in rows for k, v in names.items())
