@@ -1,10 +1,10 @@
-"""A stored lexical index: postings in blocks with bounds, written once, extended by new chunks, read by the terms that are asked for.
+"""A stored lexical index: postings sorted by term with bounds for ranges of chunks, written once, extended by new chunks, read by the terms that are asked for.
 
-Chunks are dealt to ranges of about ``per_range``. A row of the index holds what one term has in one range: how many chunks, the greatest term frequency and the
-least length among them, and beside those the lists themselves. Rows lie in folders by the term's hash and are sorted by term, so that a question reads
-the folders of its terms; batches of extensions lie side by side, and one counts from the moment its totals are written, which happens last.
+Chunks are dealt to ranges of about ``per_range``. The postings (term, range, chunk, frequency, length) lie in folders by the term's hash and are sorted by
+term and range; so do the bounds, which hold for each term and range how many chunks have it, the greatest frequency and the least length among them. Batches of
+extensions lie side by side, and one counts from the moment its totals are written, which happens last.
 
-A search reads the bounds alone first, without the lists: greatest frequency and least length give a range's best possible score for each question. It
+A search reads the bounds of its terms first: greatest frequency and least length give a range's best possible score for each question. It
 scores the most promising ranges, and then only those others whose bound reaches the k-th score found so far. The answer is that of a full count.
 """
 
@@ -23,6 +23,8 @@ from .retrieval import tokens
 BUCKETS = 64
 PER_RANGE = 64
 FIRST = 8
+#: Tokens behind the postings of one file, about.
+PER_FILE = 1 << 24
 
 TOTALS = "batch int, n long, sized long, length long, buckets int"
 
@@ -36,6 +38,23 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
+def _held(value: Column, use) -> Column:
+    """use(value), with the value computed once a row: a name in a lambda's body would be computed for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def counted(t: Column) -> Column:
+    """The distinct terms of an array, in order, each with how often it stands there; within the row, without a shuffle."""
+
+    def runs(ordered: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: (i == F.size(ordered)) | (F.get(ordered, i - 1) != F.get(ordered, i)))
+        tf = lambda ends: F.transform(ends, lambda e, i: F.struct(F.get(ordered, e - 1).alias("term"), (e - F.coalesce(F.get(ends, i - 1), F.lit(0))).alias("tf")))
+        return _held(ends, tf)
+
+    empty = F.array().cast("array<struct<term: string, tf: int>>")
+    return F.when(t.isNotNull(), _held(F.array_sort(t), lambda ordered: F.when(F.size(ordered) > 0, runs(ordered)).otherwise(empty)))
+
+
 def extend(chunks: DataFrame, path: str, text: str = "content", chunk: str = "chunk_id", buckets: int = BUCKETS, per_range: int = PER_RANGE) -> int:
     """Adds the chunks whose ids the index does not hold yet, and says how many; begins a new index where there is none.
 
@@ -48,30 +67,35 @@ def extend(chunks: DataFrame, path: str, text: str = "content", chunk: str = "ch
     if held:
         known = spark.read.parquet(*[f"{path}/chunks/batch={r.batch}" for r in held]).select("chunk_id")
         rows = rows.join(known, "chunk_id", "left_anti")
-    rows = work.stored(rows.select("chunk_id", tokens(F.col("x")).alias("t")).withColumn("length", F.when(F.col("t").isNotNull(), F.size("t"))), "tokens")
+    rows = rows.select("chunk_id", tokens(F.col("x")).alias("t")).withColumn("length", F.when(F.col("t").isNotNull(), F.size("t")))
+    rows = work.stored(rows.select("chunk_id", "length", counted(F.col("t")).alias("terms")), "terms-of-chunks")
     n, sized, length = rows.agg(F.count(F.lit(1)), F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
     if not n:
         return 0
-    ranges = max(1, math.ceil(n / per_range))
     rows.select("chunk_id").write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
-    counted = rows.select("chunk_id", "length", F.explode("t").alias("term")).groupBy("term", "chunk_id", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    counted = counted.withColumn("range", F.pmod(F.xxhash64("chunk_id"), F.lit(ranges)).cast("int"))
-    entry = F.struct("chunk_id", "tf", "length")
-    blocks = counted.groupBy("term", "range").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.array_sort(F.collect_list(entry)).alias("entries"))  # a range's chunks at most
-    blocks = blocks.withColumn("bucket", _bucket(buckets)).repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range")
-    blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
+    deal = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, math.ceil(n / per_range)))).cast("int")
+    postings = rows.select("chunk_id", "length", deal.alias("range"), F.explode("terms").alias("e")).select("e.term", "range", "chunk_id", "e.tf", "length")
+    # a term of very many chunks is split by its ranges
+    slices = max(1, math.ceil(length / (buckets * PER_FILE)))
+    postings = postings.withColumn("bucket", _bucket(buckets)).repartition(buckets * slices, "bucket", F.pmod(F.xxhash64("term", "range"), F.lit(slices)))
+    postings.sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
+    written = spark.read.option("basePath", f"{path}/postings").parquet(f"{path}/postings/batch={batch}")
+    bounds = written.groupBy("bucket", "term", "range").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
+    bounds = bounds.repartition(buckets * slices, "bucket", F.pmod(F.xxhash64("term"), F.lit(slices)))
+    bounds.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/bounds/batch={batch}")
     spark.createDataFrame([(batch, n, sized, length, buckets)], TOTALS).coalesce(1).write.mode("append").parquet(f"{path}/totals")
     return n
 
 
-def _postings(spark: SparkSession, path: str, batches: list[int], buckets: list[int] | None = None) -> DataFrame:
-    rows = spark.read.option("basePath", f"{path}/postings").parquet(*[f"{path}/postings/batch={b}" for b in batches])
+def _batches(spark: SparkSession, path: str, kind: str, batches: list[int], buckets: list[int] | None = None) -> DataFrame:
+    """Postings or bounds of some batches, from the folders of some buckets."""
+    rows = spark.read.option("basePath", f"{path}/{kind}").parquet(*[f"{path}/{kind}/batch={b}" for b in batches])
     return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
 
 
 def terms(spark: SparkSession, path: str) -> DataFrame:
     """(term, df) of the whole index, from the bounds alone."""
-    return _postings(spark, path, [r.batch for r in _totals(spark, path)]).groupBy("term").agg(F.sum("n").alias("df"))
+    return _batches(spark, path, "bounds", [r.batch for r in _totals(spark, path)]).groupBy("term").agg(F.sum("n").alias("df"))
 
 
 class Search:
@@ -88,8 +112,8 @@ class Search:
         asked = asked.select("query_id", "n_terms", F.explode("t").alias("term")).withColumn("bucket", _bucket(totals[0].buckets if totals else 1))
         asked = work.stored(asked, "asked")
         buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]  # no more than the index has
-        self.postings = _postings(spark, path, [r.batch for r in totals], buckets)
-        heads = self.postings.select("bucket", "term", "batch", "range", "n", "max_tf", "min_length").join(asked.select("bucket", "term").distinct(), ["bucket", "term"])
+        self.postings = _batches(spark, path, "postings", [r.batch for r in totals], buckets)
+        heads = _batches(spark, path, "bounds", [r.batch for r in totals], buckets).join(asked.select("bucket", "term").distinct(), ["bucket", "term"])
         heads = work.stored(heads, "bounds-of-terms")
         df = heads.groupBy("term").agg(F.sum("n").alias("df"))
         self.asked = work.stored(asked.join(df, "term").withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))), "terms")
@@ -110,10 +134,9 @@ class Search:
     def scored(self, ranges: DataFrame) -> DataFrame:
         """Scores of the chunks in some (query_id, batch, range)."""
         need = ranges.join(self.asked.select("query_id", "n_terms", "bucket", "term", "idf"), "query_id")
-        lists = need.join(self.postings.select("bucket", "term", "batch", "range", "entries"), ["bucket", "term", "batch", "range"])
-        each = lists.select("query_id", "n_terms", "idf", F.explode("entries").alias("e"))
-        score = F.round(F.sum(F.col("idf") * self.weight(F.col("e.tf"), F.col("e.length"))), 9)
-        hits = each.groupBy("query_id", F.col("e.chunk_id").alias("chunk_id"), "n_terms").agg(score.alias("score"), F.count(F.lit(1)).alias("held"))
+        each = need.join(self.postings, ["bucket", "term", "batch", "range"])
+        score = F.round(F.sum(F.col("idf") * self.weight(F.col("tf"), F.col("length"))), 9)
+        hits = each.groupBy("query_id", "chunk_id", "n_terms").agg(score.alias("score"), F.count(F.lit(1)).alias("held"))
         return (hits.where("held = n_terms") if self.match == "all" else hits).select("query_id", "chunk_id", "score")
 
     def result(self) -> DataFrame:

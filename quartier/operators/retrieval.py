@@ -162,15 +162,12 @@ def retrieve(queries: DataFrame, corpus: DataFrame, lexical_only: bool = False,
     """Expansion, dense and lexical search, fusion, re-ranking and parent texts, for (query_id, text) queries.
 
     corpus: (chunk_id, content, content_with_prefix, and parent_chunk_id where parents are wanted). ``lexical`` is the folder of a stored lexical index of
-    the corpus, which else is made for this call; ``vectors`` a stored vector index, of which each query probes some cells, and without which all vectors are compared.
+    the corpus, without which its texts are counted for this call; ``vectors`` a stored vector index, of which each query probes some cells, and without which all vectors are compared.
     """
     from . import lexical_store, vector_index
 
     asked = queries if synonyms is None else expand_query(queries, synonyms)
-    if lexical is None:
-        lexical = work.folder(corpus.sparkSession, "lexical-index")
-        lexical_store.extend(corpus, lexical)
-    lists = [lexical_store.search(asked, lexical, top_k_lexical)]
+    lists = [bm25_top_k(asked, lexical_index(corpus), top_k_lexical) if lexical is None else lexical_store.search(asked, lexical, top_k_lexical)]
     if not lexical_only:
         mine = embed(asked, "text", encoder)
         dense = dense_top_k(mine, embed(corpus, "content", encoder), top_k_dense) if vectors is None else vector_index.search(mine, vectors, top_k_dense, probes)
