@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, text
 from ..operators import aggregates, corpus, evaluation, forecast, joins, retrieval, series, spatial, validation
 from ..sources import normalize, store
-from ..streaming import ingest
+from ..streaming import alerts, ingest
 from . import panel_queries, scoring_queries, text_queries
 from . import tables as t
 
@@ -364,3 +364,27 @@ def st5(spark, d):
     spans = _stream(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("model"), F.col("user_id").alias("tokens_in"), (F.col("user_id") * 2).alias("tokens_out"))
     ingest.stream_upsert(ingest.stream_usage(spans, prices, delay="3650 days"), f"{path}/table", ["day", "model"], f"{path}/state").awaitTermination()
     return ingest.current_table(spark, f"{path}/table").select("day", "model", "calls", "cost")
+
+
+@query("st5_spend_alerts", """WITH p(model, usd_in, usd_out) AS (VALUES ('click', 3.0, 15.0), ('view', 0.5, 1.5)),
+e AS (SELECT CAST(ts AS DATE) AS day, ts, CAST((user_id * coalesce(usd_in, 0.0) + user_id * 2 * coalesce(usd_out, 0.0)) / 1e6 AS DOUBLE) AS cost, event_id % 10 = 3 AND ts < (SELECT max(ts) FROM events) - INTERVAL 5 DAY AS late FROM events LEFT JOIN p ON model = event_type),
+d AS (SELECT day, count(*) AS calls, sum(cost) AS cost FROM e WHERE NOT late GROUP BY ALL), l AS (SELECT sum(cost) / count(DISTINCT day) AS most FROM e), n AS (SELECT count(*) FILTER (WHERE late) AS dropped, max(ts) FILTER (WHERE NOT late) - INTERVAL 1 DAY AS mark FROM e)
+SELECT day, 'alert' AS kind, calls, round(cost, 6) AS cost, dropped FROM d, l, n WHERE cost > most
+UNION ALL SELECT day, 'total', calls, round(cost, 6), dropped FROM d, n WHERE CAST(day + 1 AS TIMESTAMP) <= mark""")
+def st5b(spark, d):
+    """Three loads: the first ten days, the days after them, and then rows that come days too late and are dropped and counted."""
+    path = t.scratch(spark, "stream-alerts")
+    prices = spark.createDataFrame([("click", 3.0, 15.0), ("view", 0.5, 1.5)], "model string, usd_in double, usd_out double")
+    rows = t.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("model"), F.col("user_id").alias("tokens_in"), (F.col("user_id") * 2).alias("tokens_out"), "event_id")
+    priced = rows.join(prices, "model", "left").select("ts", ((F.col("tokens_in") * F.coalesce("usd_in", F.lit(0.0)) + F.col("tokens_out") * F.coalesce("usd_out", F.lit(0.0))) / 1e6).alias("cost"))
+    first, last, total, days = priced.agg(F.min("ts"), F.max("ts"), F.sum("cost"), F.count_distinct(F.to_date("ts"))).first()
+    late = (F.col("event_id") % 10 == 3) & (F.col("ts") < F.lit(last - dt.timedelta(days=5)))
+    early = F.col("ts") < F.lit(dt.datetime.combine(first.date() + dt.timedelta(days=10), dt.time()))
+    loads = [~late & early, ~late & ~early, late]
+    for load in loads:
+        rows.where(load).drop("event_id").write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.drop("event_id").schema).parquet(f"{path}/in")
+        query = alerts.write_batches(alerts.stream_spend(stream, prices, limit=total / days), f"{path}/out", f"{path}/state")
+        query.awaitTermination()
+    out = alerts.read_batches(spark, f"{path}/out")
+    return out.select("day", "kind", "calls", F.round("cost", 6).alias("cost"), F.lit(alerts.dropped_late(query)).cast("long").alias("dropped"))
