@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import functions as F
 
-from ..operators import models, validation
+from ..operators import aggregates, models, sketches, tree_attribution, validation
 from . import scoring_queries
 from . import tables as t
 
@@ -113,3 +113,25 @@ def m10(spark, d):
     """What the calibration bins add up to over all scores."""
     bins = validation.calibration(t.scored(spark, d), "y", "p", ["lang"], 7)
     return bins.groupBy("lang").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("mean_y")) / F.sum("n"), 6).alias("share"))
+
+
+@query("l9_tree_attribution")
+def l9b(spark, d):
+    """The two leading features of each row's margin, by boosted trees with a category."""
+    rows = scoring_queries._training(spark, d).withColumn("area", (F.col("nta_id") % 5).cast("string"))
+    model = models.fit_gbt(rows.where("role = 'train'"), [*scoring_queries.FEATURES, "area"], "y", category="area", rounds=5)
+    out = tree_attribution.tree_attribution(rows.where("role = 'test'"), model, 2)
+    return out.select("row", F.explode("top_factors").alias("f")).select("row", "f.feature", F.round("f.contribution", 6).alias("contribution"))
+
+
+@query("a9_thresholds_from_states")
+def a9d(spark, d):
+    """Tenths of all line items' prices from the states kept for each month in two loads, beside the exact ones."""
+    path, tenths = t.scratch(spark, "states"), [i / 10 for i in range(1, 11)]
+    rows = t.table(spark, d, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("month"), "l_extendedprice", "l_linenumber")
+    for load, part in enumerate((F.col("l_linenumber") <= 3, F.col("l_linenumber") > 3)):
+        sketches.add_states(rows.where(part), path, load, "l_extendedprice", ["month"])
+    kept = sketches.thresholds_from_states(sketches.read_states(spark, path, ["month"]), tenths)
+    exact = aggregates.exact_quantiles(rows, "l_extendedprice", tenths, "exact")
+    both = kept.crossJoin(exact)  # one row each
+    return both.select("n", F.posexplode(F.arrays_zip("thresholds", "exact")).alias("tenth", "x")).select((F.col("tenth") + 1).alias("tenth"), "x.thresholds", "x.exact", "n")
