@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, models, sketches, tree_attribution, validation
+from ..operators import aggregates, models, sketches, stacking, tree_attribution, validation
 from . import scoring_queries
 from . import tables as t
 
@@ -135,3 +135,13 @@ def a9d(spark, d):
     exact = aggregates.exact_quantiles(rows, "l_extendedprice", tenths, "exact")
     both = kept.crossJoin(exact)  # one row each
     return both.select("n", F.posexplode(F.arrays_zip("thresholds", "exact")).alias("tenth", "x")).select((F.col("tenth") + 1).alias("tenth"), "x.thresholds", "x.exact", "n")
+
+
+@query("l7_stacking")
+def l7b(spark, d):
+    """Out-of-fold scores of two base models, a model over them that is calibrated on later weeks, and its scores of the test weeks."""
+    rows = scoring_queries._training(spark, d)
+    train, test = (rows.where(F.col("role") == r).drop("role") for r in ("train", "test"))
+    trees = lambda r, f, y: models.fit_gbt(r, f, y, rounds=5)
+    stack = stacking.fit_stack(train, scoring_queries.FEATURES, "y", {"line": models.fit_logistic, "trees": trees}, "trees", "row", n_folds=3)
+    return stack.score(test, "row").select("row", "fused_class", *[F.round(c, 4).alias(c) for c in ("line", "trees", "fused_score")])
