@@ -15,6 +15,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import work
 from ..sources.store import upsert
 from .aggregates import assign_decile, decile_thresholds
 from .series import fill_missing
@@ -88,15 +89,15 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, features: Sequence[str
     """Validation folds, a calibration on the last of them, and a fit on all training rows for the test.
 
     Returns metrics (model, stage, fold, ...), the final model, and the out-of-fold scores. Folds are few, and each fit is a Spark job of its own;
-    the metrics, a row for each fold and one for the test, are worked out here, so that nothing stays cached.
+    the tagged rows and the scores are written to the shared folder, so that a caller reads scores and fits nothing again.
     """
-    tagged = expanding_folds(train, date, n_folds, **folds).cache()
+    tagged = work.stored(expanding_folds(train, date, n_folds, **folds), "folds")
     scored = []
     for fold in [r.fold for r in tagged.select("fold").distinct().orderBy("fold").collect()]:
         mine = tagged.where(F.col("fold") == fold)
         model = fitter(mine.where("role = 'train'"), features, label)
         scored.append(positive_score(model.transform(mine.where("role = 'val'"))))
-    oof = reduce(DataFrame.unionByName, scored).cache()
+    oof = work.stored(reduce(DataFrame.unionByName, scored), "out-of-fold")
     last = oof.where(F.col("fold") == oof.agg(F.max("fold")).first()[0])
     isotonic = calibrate(last, label, "score")
     final = fitter(train, features, label)
@@ -104,10 +105,7 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, features: Sequence[str
     cv = metric_bundle(oof, label, "score", key, ["fold"]).select(F.lit(name).alias("model"), F.lit("cv").alias("stage"), "*")
     held = metric_bundle(tested, label, "calibrated", key).select(F.lit(name).alias("model"), F.lit("test").alias("stage"), F.lit(None).cast("int").alias("fold"), "*")
     metrics = cv.unionByName(held)
-    metrics = train.sparkSession.createDataFrame(metrics.collect(), metrics.schema)
-    oof.unpersist()
-    tagged.unpersist()
-    return metrics, final, oof
+    return train.sparkSession.createDataFrame(metrics.collect(), metrics.schema), final, oof  # a row for each fold and one for the test
 
 
 def group_models(train: DataFrame, test: DataFrame, by: str, features: Sequence[str], label: str, max_rows: int = 10_000, fallback: str | None = None, date: str | None = None, tail: float = 0.2) -> DataFrame:
