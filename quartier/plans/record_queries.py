@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text
 from ..operators import aggregates, corpus, evaluation, forecast, joins, retrieval, series, spatial, validation
-from ..sources import normalize, store
+from ..sources import features, normalize, store
 from ..streaming import alerts, ingest
 from . import panel_queries, scoring_queries, text_queries
 from . import tables as t
@@ -388,3 +388,17 @@ def st5b(spark, d):
         query.awaitTermination()
     out = alerts.read_batches(spark, f"{path}/out")
     return out.select("day", "kind", "calls", F.round("cost", 6).alias("cost"), F.lit(alerts.dropped_late(query)).cast("long").alias("dropped"))
+
+
+@query("s16_feature_collections", "SELECT event_id, value AS lon, user_id AS lat, event_type AS kind FROM events WHERE event_id % 5 <> 0")
+def s16b(spark, d):
+    """Points written as feature collections by the data source, some without a place, and read again in parts with the kind pushed to the reader."""
+    features.register(spark)
+    path = t.scratch(spark, "features")
+    e = t.table(spark, d, "events")
+    properties = F.map_from_arrays(F.array(F.lit("event_id"), F.lit("kind")), F.array(F.col("event_id").cast("string"), F.col("event_type")))
+    placed = F.col("event_id") % 5 != 0
+    e.select(properties.alias("properties"), F.when(placed, "Point").alias("kind"), F.when(placed, F.to_json(F.array(F.col("value"), F.col("user_id").cast("double")))).alias("coordinates")).write.format("features").mode("overwrite").save(path)
+    rows = spark.read.format("features").option("part_bytes", 1 << 16).load(path).where("kind = 'Point'")
+    at = F.from_json("coordinates", "array<double>")
+    return rows.select(F.col("properties")["event_id"].cast("long").alias("event_id"), at[0].alias("lon"), at[1].cast("long").alias("lat"), F.col("properties")["kind"].alias("kind"))
