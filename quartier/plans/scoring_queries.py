@@ -266,6 +266,33 @@ def p3(spark, d):
     return out.withColumn("mae", F.round("mae", 6))
 
 
+def _stepwise(source: str) -> str:
+    """CTEs of forecasts by step over a table (nta_id, week_start, v), as ``bands``."""
+    return f"""b AS (SELECT nta_id, week_start AS w, v, avg(v) OVER (PARTITION BY nta_id ORDER BY week_start ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS lv,
+  row_number() OVER (PARTITION BY nta_id ORDER BY week_start DESC) AS k FROM {source}), r AS (SELECT CAST(i AS INTEGER) AS i FROM range(1, 9) x(i)),
+e AS (SELECT a.nta_id, i, a.v - o.lv AS p, a.v - o.lv - (p.v - q.lv) AS s FROM b a CROSS JOIN r JOIN b o ON o.nta_id = a.nta_id AND o.w = a.w - 7 * i
+  LEFT JOIN b p ON p.nta_id = a.nta_id AND p.w = a.w - 56 LEFT JOIN b q ON q.nta_id = a.nta_id AND q.w = o.w - 56 WHERE a.k <= 20),
+g AS (SELECT nta_id, i, quantile_cont(p, [0.1, 0.5, 0.9]) AS qp, count(p) AS np, quantile_cont(s, [0.1, 0.5, 0.9]) AS qs, count(s) AS ns FROM e GROUP BY ALL HAVING count(p) >= 4),
+h AS (SELECT g.nta_id, g.i, l.w, l.lv, ns >= 4 AND p.v - q.lv IS NOT NULL AS own, l.lv + (p.v - q.lv) AS ahead, CASE WHEN own THEN qs ELSE qp END AS q, CASE WHEN own THEN ns ELSE np END AS n
+  FROM g JOIN b l ON l.nta_id = g.nta_id AND l.k = 1 LEFT JOIN b p ON p.nta_id = g.nta_id AND p.w = l.w + 7 * g.i - 56 LEFT JOIN b q ON q.nta_id = g.nta_id AND q.w = l.w - 56),
+c AS (SELECT nta_id, r.i, max(h.i) AS j FROM h JOIN r ON h.i <= r.i GROUP BY ALL HAVING min(h.i) = 1),
+bands AS (SELECT c.nta_id, c.i AS step, h.w + 7 * c.i AS forecast_week, CASE WHEN own AND c.i = c.j THEN ahead ELSE lv END AS f, q, n AS n_errors FROM c JOIN h ON h.nta_id = c.nta_id AND h.i = c.j),
+fc AS (SELECT nta_id, step, forecast_week, round(least(greatest(f + q[1], 0), 1), 6) AS p10, round(least(greatest(f + q[2], 0), 1), 6) AS p50, round(least(greatest(f + q[3], 0), 1), 6) AS p90, n_errors FROM bands)"""
+
+
+@query("p1_forecast_by_step", f"WITH {SERIES}, {_stepwise('s')} SELECT * FROM fc")
+def p1b(spark, d):
+    return forecast.forecast_by_step(_series(spark, d), "nta_id", "week_start", "v", 8, season=8, origins=20, least=4)
+
+
+@query("p3_backtest_bands", f"""WITH {SERIES}, t AS (SELECT *, row_number() OVER (PARTITION BY nta_id ORDER BY week_start DESC) AS back FROM s), past AS (SELECT * FROM t WHERE back > 8), {_stepwise('past')}
+SELECT step, count(*) AS n, round(avg(CAST(v BETWEEN p10 AND p90 AS INTEGER)), 6) AS covered, round(avg(p90 - p10), 7) AS width, round(avg(abs(p50 - v)), 7) AS mae
+FROM fc JOIN t ON t.nta_id = fc.nta_id AND t.week_start = fc.forecast_week AND back <= 8 GROUP BY ALL""")
+def p3b(spark, d):
+    out = forecast.backtest_bands(_series(spark, d), "nta_id", "week_start", "v", 8, season=8, origins=20, least=4)
+    return out.withColumns({c: F.round(c, n) for c, n in (("covered", 6), ("width", 7), ("mae", 7))})
+
+
 @query("p4_count_to_prob", f"WITH {SERIES}, m AS (SELECT nta_id, avg(v) AS m FROM s GROUP BY ALL) SELECT nta_id, round(m / max(m) OVER (), 6) AS score FROM m")
 def p4(spark, d):
     return forecast.count_to_prob(_series(spark, d).withColumnRenamed("v", "p50"), "nta_id").withColumn("score", F.round("score", 6))
