@@ -20,7 +20,11 @@ def edges_of(rings: Column) -> Column:
 
 def strictly_inside(x: Column, y: Column, rings: Column) -> Column:
     """Whether a point lies in the polygon's interior: an odd number of sides cross its ray, and it is on none."""
-    edges = edges_of(rings)
+    return inside_edges(x, y, edges_of(rings))
+
+
+def inside_edges(x: Column, y: Column, edges: Column) -> Column:
+    """The same of a polygon's sides; sides that lie wholly to the left of the point, above or below it may be left out."""
 
     def on_side(e: Column) -> Column:
         cross = (x - e["x1"]) * (e["y2"] - e["y1"]) - (y - e["y1"]) * (e["x2"] - e["x1"])

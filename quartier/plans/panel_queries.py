@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions import dates, keys, numbers
-from ..operators import aggregates, joins, ranking, series, spatial
+from ..operators import aggregates, cover, joins, ranking, series, spatial
 from ..sources import normalize, store
 from . import tables as t
 
@@ -232,6 +232,22 @@ def j1(spark, d):
     return spatial.within_join(t.points(spark, d), t.squares(spark, d), 1.0).select("o_orderkey", "nta_id")
 
 
+@query("j1_within_cover", """WITH hot AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 2.315 ELSE (o_orderkey * 37 % 600) / 100.0 + 0.005 END AS lon,
+  CASE WHEN o_orderkey % 3 = 0 THEN 1.7525 ELSE (o_orderkey * 53 % 600) / 100.0 + 0.0025 END AS lat FROM orders)
+SELECT o_orderkey, n_nationkey AS nta_id FROM hot JOIN nation ON abs(lon - n_nationkey % 5 - 0.5) + abs(lat - n_nationkey // 5 - 0.5) < 0.5 + 0.25 * (n_nationkey % 3)""")
+def j1c(spark, d):
+    """Diamonds of three sizes, which overlap, and a third of the points at one place."""
+    k = F.col("n_nationkey")
+    x, y, r = (k % 5) + 0.5, F.floor(k / 5) + 0.5, (k % 3) * 0.25 + 0.5
+    corner = lambda i, j: F.struct((x + i * r).alias("x"), (y + j * r).alias("y"))
+    areas = t.table(spark, d, "nation").select(k.alias("nta_id"), F.array(F.array(corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1))).alias("rings"))
+    o = F.col("o_orderkey")
+    places = t.table(spark, d, "orders").select(
+        "o_orderkey", F.when(o % 3 == 0, 2.315).otherwise((o * 37 % 600) / 100.0 + 0.005).alias("lon"), F.when(o % 3 == 0, 1.7525).otherwise((o * 53 % 600) / 100.0 + 0.0025).alias("lat")
+    )
+    return cover.within_cover(places, cover.cover(areas)).select("o_orderkey", "nta_id")
+
+
 @query("j2_fill_area", f"""WITH {t.POINTS} SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN -1 WHEN lon < 5 AND lat < 5 THEN CAST(floor(lon) + 5 * floor(lat) AS INTEGER) END AS nta_id FROM points""")
 def j2(spark, d):
     rows = t.points(spark, d).withColumn("nta_id", F.when(F.col("o_orderkey") % 2 == 0, F.lit(-1)))
