@@ -1,6 +1,6 @@
 """Polygons laid out as cells of a quadtree: inside cells need no test of their sides, cells on a side keep the few sides that matter.
 
-A fixed grid of one cell size suits neither large nor small polygons. Here every polygon is split by halves (``fan`` parts a side) where its sides
+A fixed grid of one cell size suits neither large nor small polygons. Here every polygon is split into ``fan`` parts a side where its sides
 run, down to ``depth``; what lies wholly inside stays one large cell. A point asks one cell at each level in use.
 """
 
@@ -42,7 +42,7 @@ def _meets(e: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return reach & (F.least(*hand) <= 0) & (F.greatest(*hand) >= 0)
 
 
-def cover(polys: DataFrame, fan: int = 2, depth: int = 10, few: int = 6) -> Cover:
+def cover(polys: DataFrame, fan: int = 4, depth: int = 5, few: int = 6) -> Cover:
     """Splits polygons (rings, and other columns, which go along) into cells, level by level, each written to the shared folder.
 
     A cell on a side is split on while it has more than ``few`` sides beside it or is wider than half its polygon, down to ``depth``. Its sides

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions import dates, keys, numbers
-from ..operators import aggregates, cover, joins, ranking, series, spatial
+from ..operators import aggregates, cover, joins, panel_store, ranking, series, spatial
 from ..sources import normalize, store
 from . import tables as t
 
@@ -55,6 +55,29 @@ def j6(spark, d):
     return t.panel(spark, d)
 
 
+@query("j6_incremental_panel", f"""WITH {t.LABELS}, {t.COMPLAINTS}
+SELECT l.nta_id, l.week_start, l.total_count, l.positive_count, round(l.positive_count / l.total_count, 4) AS positive_rate, l.positive_count > 0 AS positive_ind, coalesce(c.complaints_count, 0) AS complaints_count,
+  b.total_count AS total_count_lag_1w, e.total_count AS total_count_lag_4w, k.total_count AS total_count_lag_12w
+FROM labels l LEFT JOIN comp c USING (nta_id, week_start) LEFT JOIN labels b ON b.nta_id = l.nta_id AND b.week_start = l.week_start - 7
+LEFT JOIN labels e ON e.nta_id = l.nta_id AND e.week_start = l.week_start - 28 LEFT JOIN labels k ON k.nta_id = l.nta_id AND k.week_start = l.week_start - 84""")
+def j6b(spark, d):
+    """Three loads: orders to the end of 1997, later ones, and those of spring 1996 once more, as corrections come."""
+    at = t.scratch(spark, "panel")
+    rows = t.inspections(spark, d)
+    for number, mine in enumerate((F.col("d") < "1998-01-01", F.col("d") >= "1998-01-01", F.col("d").between("1996-03-01", "1996-05-31"))):
+        panel_store.load(rows.where(mine), at, number, ["o_orderkey"], "d", weekly_panel)
+    return spark.read.parquet(f"{at}/panel").select("nta_id", "week_start", *[c for c in PANEL_COLUMNS])
+
+
+PANEL_COLUMNS = ["total_count", "positive_count", "positive_rate", "positive_ind", "complaints_count", "total_count_lag_1w", "total_count_lag_4w", "total_count_lag_12w"]
+
+
+def weekly_panel(facts):
+    """Panel rows of inspections, with lags by calendar, so that a row depends on the weeks of its lags alone."""
+    counted = aggregates.weekly_counts(facts, "nta_id", "d", {"positive_count": F.col("result") == "F", "complaints_count": F.col("o_orderpriority") == "1-URGENT"})
+    return joins.build_panel(series.lags(counted, "total_count", mode="calendar"), {})
+
+
 @query("j5_attach_area", f"WITH {t.INSPECTIONS} SELECT nta_id, result, count(*) AS n FROM insp GROUP BY ALL")
 def j5(spark, d):
     return t.inspections(spark, d).groupBy("nta_id", "result").agg(F.count(F.lit(1)).alias("n"))

@@ -32,17 +32,17 @@ def rows_of(df):
 def test_cover_equals_grid(map_):
     points, polys = map_
     want = rows_of(spatial.within_join(points, polys.where("size(rings) > 0"), 0.5))
-    laid = cover.cover(polys, depth=7)
+    laid = cover.cover(polys, fan=2, depth=7)
     assert rows_of(cover.within_cover(points, laid)) == want and len(want) > 700
     assert rows_of(cover.within_cover(points, laid, broadcast_sides=0, salt=4)) == want
-    other = cover.cover(polys, fan=4, depth=3, few=0)
+    other = cover.cover(polys)
     assert rows_of(cover.within_cover(points, other)) == want
     assert (9000, "square") not in want and want.count((9004, "square")) == 2
 
 
 def test_inner_cells_have_no_sides_and_busy_cells_are_no_single_key(map_):
     points, polys = map_
-    laid = cover.cover(polys, depth=7)
+    laid = cover.cover(polys, fan=2, depth=7)
     inner = laid.cells.where("not cut")
     assert inner.count() > 0 and inner.where("size(sides) > 0").isEmpty()
     assert laid.cells.where("cut").selectExpr("avg(size(sides))").first()[0] < 40  # of 67 sides a polygon
