@@ -8,9 +8,9 @@ fewest phrases a character wins.
 Text is lower-cased; runs of anything but letters become one space. A document is parsed whole, cut
 into pieces of ``PIECE`` characters that advance together, one step at a time; a phrase that crosses a cut counts twice, for every language alike.
 
-The sample is bounded: of each language, the texts with the smallest id hashes in ``SAMPLE_ROWS`` hash buckets, one row each,
-up to ``SAMPLE_CHARS`` characters of letters and spaces in all. Each text gives an equal share; what short texts leave of
-theirs goes to longer ones.
+The sample is bounded: of each language, one row of each of ``SAMPLE_ROWS`` hash buckets, the one with the smallest id hash among texts of at most
+``WHOLE`` characters (where a bucket has none, its shortest), and of these, in the order of their hashes, all that fit whole into ``SAMPLE_CHARS`` letters and
+spaces. Rows are learned from as a whole or not at all; only of a language that has no text within ``SAMPLE_CHARS``, equal shares of the rows are taken.
 
 Nulls and edge cases: a null text, or one without a letter, is ``und`` with score 0; rows without a label are
 not learned from; a null id is not held out; ties go to the first language by name; without any labelled text all is ``und``; repeated
@@ -30,6 +30,7 @@ from . import io
 
 SAMPLE_ROWS = 64
 SAMPLE_CHARS = 48_000
+WHOLE = 3_000
 PIECE = 1024
 
 
@@ -190,23 +191,35 @@ class Model:
         return [self.languages[b] if n else "und" for b, n in zip(best, n_letters, strict=True)], score
 
 
+def whole(texts: list[str], size: int) -> list[str]:
+    """In their order the texts that fit whole into ``size`` letters and spaces; all of them where not even one does."""
+    kept = []
+    for text in texts:
+        n = len(letters(text))
+        if n <= size:
+            kept.append(text)
+            size -= n
+    return kept if any((letters(t) != 32).any() for t in kept) else texts
+
+
 def sample(docs: DataFrame) -> dict[str, list[str]]:
     """The bounded sample to learn from, of rows (doc_id, text, lang).
 
-    The least id hash of each language and hash bucket is found on the ids alone; then only those rows' texts are read.
+    The rows are chosen by language and hash bucket on ids and lengths alone; then only those rows' texts are read.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    least = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("bucket")).agg(F.min("h").alias("h"))
-    hashes = [r.h for r in least.select("h").distinct().collect()]  # SAMPLE_ROWS a language at most
+    rows = rows.withColumn("over", F.greatest(F.length("text") - WHOLE, F.lit(0)))
+    least = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("bucket")).agg(F.min(F.struct("over", "h")).alias("least"))
+    hashes = [r.h for r in least.select("least.h").distinct().collect()]  # SAMPLE_ROWS a language at most
     if not hashes:
         return {}
-    # of rows that repeat an id one, whatever their number; letters and spaces only, and of no text more than the whole sample may hold
-    asked = rows.where(F.col("h").isin(hashes)).groupBy("lang", "h").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    # of rows that repeat an id one, whatever their number; letters and spaces only, and what is longer than a sample is cut where it is longer
+    asked = rows.where(F.col("h").isin(hashes)).groupBy("lang", "h").agg(F.min_by("text", F.struct("over", F.xxhash64("text"), F.length("text"))).alias("text"))
     body = F.substring(F.regexp_replace("text", r"[^\p{L}]+", " "), 1, SAMPLE_CHARS + 1).alias("text")
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in asked.select("lang", "h", body).collect():
         texts.setdefault(r.lang, []).append((r.h, r.text))
-    found = {lang: [t for _, t in sorted(held)] for lang, held in texts.items()}
+    found = {lang: whole([t for _, t in sorted(held)], SAMPLE_CHARS) for lang, held in texts.items()}
     return {lang: held for lang, held in found.items() if any((letters(t) != 32).any() for t in held)}
 
 
@@ -245,6 +258,6 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose text is of a language that the corpus has labels for."""
     # a document travels as one struct, so that its columns keep names and values whatever they are called
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
-    found = identify(whole, docs.where(F.coalesce(io.crc_mod("doc_id", 4) != 2, F.lit(True))))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    found = identify(rows, docs.where(F.coalesce(io.crc_mod("doc_id", 4) != 2, F.lit(True))))
     return found.where(F.col("lang_pred") != "und").select("doc.*")

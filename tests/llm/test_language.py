@@ -97,3 +97,16 @@ def test_a_hot_id_is_one_row_of_the_sample(spark):
     assert len(language.sample(rows)["a"]) == 2
     again = language.sample(rows.repartition(5))
     assert again == language.sample(rows)
+
+
+def test_rows_are_learned_from_whole(spark):
+    """A text is in the sample as a whole or not at all; a language of long texts only is learned from shares."""
+    rows = [(i, "a", "the cat sat " * (20 + i)) for i in range(60)] + [(100 + i, "a", "mat dog " * 9000) for i in range(3)] + [(200 + i, "b", "der hund " * 8000) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = language.sample(docs)
+    assert set(got) == {"a", "b"} and {t.strip() for t in got["a"]} <= {t.strip() for _, _, t in rows}
+    assert len(got["a"]) > 20 and sum(len(language.letters(t)) for t in got["a"]) <= language.SAMPLE_CHARS
+    assert got == language.sample(docs.repartition(7))
+    assert language.identify(docs, docs).where("lang <> lang_pred").isEmpty()
+    assert language.whole(["abc", "abcdefgh", "de"], 10) == ["abc", "de"]
+    assert language.whole(["abcdefghijk"], 5) == ["abcdefghijk"]
