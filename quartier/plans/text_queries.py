@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import corpus, evaluation, joins, lexical_store, retrieval, vector_index
+from ..operators import corpus, evaluation, hooks, joins, lexical_store, retrieval, vector_index
 from . import tables as t
 
 QUERIES: dict = {}
@@ -337,6 +338,27 @@ def r9d(spark, d):
 
 
 #: The queries that ask with the first eight words, asked with whole items.
+def _share(arrays, queries, texts):
+    """The weighted share of a query's distinct words that a text holds."""
+    import regex
+
+    split = lambda text: [w for w in regex.split(r"[^\p{L}0-9]+", text.lower()) if w]
+    held = [(set(split(q)), set(split(x))) for q, x in zip(queries, texts, strict=True)]
+    return arrays["weight"][0] * np.array([len(q & x) / len(q) if q else 0.0 for q, x in held])
+
+
+def r11b(spark, d):
+    """Re-ranking by a model from the registry, applied in batches, over the whole texts of the items."""
+    at = t.scratch(spark, "registry")
+    hooks.save_arrays(spark, {"weight": np.array([0.25])}, at, "share", "v1")
+    hooks.save_arrays(spark, {"weight": np.array([1.0])}, at, "share", "v2")
+    hits = retrieval.bm25_top_k(_asked_whole(spark, d), retrieval.lexical_index(_chunks(spark, d)), 20)
+    rows = hits.join(_asked_whole(spark, d), "query_id").join(_chunks(spark, d), "chunk_id")
+    return retrieval.rerank(rows, hooks.batch_scorer(at, "share", _share)).select("query_id", "chunk_id", "rank")
+
+
 for _name, _query in {"r9_bm25_top_k": r9, "r9_bm25_all": r9b, "r11_rerank": r11, "r12_expand_query": r12}.items():
     _sql = ORACLES[_name].replace(ASKED, ASKED_WHOLE).replace("array_to_string(string_split(text, ' ')[:8], ' ')", "text")
     query(f"{_name}_whole", _sql)(lambda spark, d, _query=_query: _query(spark, d, _asked_whole))
+
+query("r11_rerank_batch", ORACLES["r11_rerank_whole"])(r11b)
