@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, VectorAssembler
@@ -36,15 +38,20 @@ def fit_logistic(train: DataFrame, features: Sequence[str], label: str, c: float
     ]).fit(train)
 
 
-def fit_gbt(train: DataFrame, features: Sequence[str], label: str, category: str | None = None, rounds: int = 50, seed: int = 0) -> PipelineModel:
-    """Boosted trees with learning rate 0.05; a category column is indexed, unseen values in a bin of their own."""
+def fit_gbt(train: DataFrame, features: Sequence[str], label: str, category: str | None = None, rounds: int = 50, seed: int = 0, watched: str | None = None, tolerance: float = 0.001) -> PipelineModel:
+    """Boosted trees with learning rate 0.05; a category column is indexed, unseen values in a bin of their own.
+
+    Given a flag column ``watched``, its rows are not learned from: boosting stops where a round no longer lowers their loss by the share ``tolerance``.
+    """
     stages, cols = [], [f for f in features if f != category]
     filled = [f"{f}_filled" for f in cols]
     stages.append(Imputer(strategy="median", inputCols=cols, outputCols=filled))
     if category:
         stages.append(StringIndexer(inputCol=category, outputCol=f"{category}_index", handleInvalid="keep"))
         filled.append(f"{category}_index")
-    stages += [VectorAssembler(inputCols=filled, outputCol="features"), GBTClassifier(labelCol=label, stepSize=0.05, maxIter=rounds, maxDepth=4, seed=seed)]
+    stages += [VectorAssembler(inputCols=filled, outputCol="features"), GBTClassifier(labelCol=label, stepSize=0.05, maxIter=rounds, maxDepth=4, seed=seed, validationTol=tolerance)]
+    if watched:
+        stages[-1].setValidationIndicatorCol(watched)
     return Pipeline(stages=stages).fit(train)
 
 
@@ -85,19 +92,40 @@ def apply_calibration(scored: DataFrame, model: IsotonicRegressionModel, p: str,
     return values.withColumn(out, F.least(F.greatest(F.col(out), F.lit(0.0)), F.lit(1.0)))
 
 
-def train_and_evaluate(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, fitter: Fitter, key: str, name: str = "model", date: str = "week_start", n_folds: int = 5, **folds) -> tuple[DataFrame, PipelineModel, DataFrame]:
+def flag_latest(rows: DataFrame, weeks: int = 4, date: str = "week_start", out: str = "watched") -> DataFrame:
+    """Adds a flag for the rows of the last ``weeks`` weeks, for fits that stop by them. Rows without a date are not flagged."""
+    last = rows.agg(F.max(date).alias("_last"))
+    flagged = F.coalesce(F.col(date) > F.date_sub("_last", 7 * weeks), F.lit(False))
+    return rows.crossJoin(F.broadcast(last)).withColumn(out, flagged).drop("_last")  # one row
+
+
+def score_folds(tagged: DataFrame, features: Sequence[str], label: str, fitter: Fitter, parallel: int = 4) -> list[DataFrame]:
+    """The validation rows of each fold, in order, with the score of a model of that fold's training rows.
+
+    Up to ``parallel`` fits are under way at a time, each a chain of Spark jobs that share the executors, so that the short jobs of one fit fill the gaps
+    of another. A table that is tagged at great cost is written first. A fit that fails fails the call.
+    """
+    folds = [r.fold for r in tagged.select("fold").distinct().orderBy("fold").collect()]
+
+    def fit(fold: int) -> DataFrame:
+        mine = tagged.where(F.col("fold") == fold)
+        model = fitter(mine.where("role = 'train'"), features, label)
+        return positive_score(model.transform(mine.where("role = 'val'")))
+
+    if parallel <= 1 or len(folds) <= 1:
+        return [fit(fold) for fold in folds]
+    with ThreadPoolExecutor(min(parallel, len(folds))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(fit), fold) for fold in folds]]
+
+
+def train_and_evaluate(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, fitter: Fitter, key: str, name: str = "model", date: str = "week_start", n_folds: int = 5, parallel: int = 4, **folds) -> tuple[DataFrame, PipelineModel, DataFrame]:
     """Validation folds, a calibration on the last of them, and a fit on all training rows for the test.
 
-    Returns metrics (model, stage, fold, ...), the final model, and the out-of-fold scores. Folds are few, and each fit is a Spark job of its own;
+    Returns metrics (model, stage, fold, ...), the final model, and the out-of-fold scores. Folds are few and fitted ``parallel`` at a time;
     the tagged rows and the scores are written to the shared folder, so that a caller reads scores and fits nothing again.
     """
     tagged = work.stored(expanding_folds(train, date, n_folds, **folds), "folds")
-    scored = []
-    for fold in [r.fold for r in tagged.select("fold").distinct().orderBy("fold").collect()]:
-        mine = tagged.where(F.col("fold") == fold)
-        model = fitter(mine.where("role = 'train'"), features, label)
-        scored.append(positive_score(model.transform(mine.where("role = 'val'"))))
-    oof = work.stored(reduce(DataFrame.unionByName, scored), "out-of-fold")
+    oof = work.stored(reduce(DataFrame.unionByName, score_folds(tagged, features, label, fitter, parallel)), "out-of-fold")
     last = oof.where(F.col("fold") == oof.agg(F.max("fold")).first()[0])
     isotonic = calibrate(last, label, "score")
     final = fitter(train, features, label)

@@ -13,18 +13,14 @@ from pyspark.sql import functions as F
 
 from ..sources import work
 from .joins import meta_features
-from .models import Fitter, apply_fusion, fit_fusion, positive_score
+from .models import Fitter, apply_fusion, fit_fusion, positive_score, score_folds
 from .validation import expanding_folds
 
 
 def out_of_fold(tagged: DataFrame, features: Sequence[str], label: str, fitter: Fitter, key: str, date: str = "week_start") -> DataFrame:
     """(key, date, label, fold, score) of the validation rows of each fold, scored by a model of that fold's training rows alone. Folds are few."""
-    scored = []
-    for fold in [r.fold for r in tagged.select("fold").distinct().orderBy("fold").collect()]:
-        mine = tagged.where(F.col("fold") == fold)
-        model = fitter(mine.where("role = 'train'"), features, label)
-        scored.append(positive_score(model.transform(mine.where("role = 'val'"))).select(key, date, label, "fold", "score"))
-    return reduce(DataFrame.unionByName, scored)
+    scored = score_folds(tagged, features, label, fitter)
+    return reduce(DataFrame.unionByName, [rows.select(key, date, label, "fold", "score") for rows in scored])
 
 
 @dataclass
