@@ -387,7 +387,8 @@ def st5b(spark, d):
         query = alerts.write_batches(alerts.stream_spend(stream, prices, limit=total / days), f"{path}/out", f"{path}/state")
         query.awaitTermination()
     out = alerts.read_batches(spark, f"{path}/out")
-    return out.select("day", "kind", "calls", F.round("cost", 6).alias("cost"), F.lit(alerts.dropped_late(query)).cast("long").alias("dropped"))
+    cost = F.round(F.col("cost") * 1e6) / 1e6  # the double itself, as SQL rounds it; F.round("cost", 6) rounds its shortest decimals
+    return out.select("day", "kind", "calls", cost.alias("cost"), F.lit(alerts.dropped_late(query)).cast("long").alias("dropped"))
 
 
 @query("s16_feature_collections", "SELECT event_id, value AS lon, user_id AS lat, event_type AS kind FROM events WHERE event_id % 5 <> 0")

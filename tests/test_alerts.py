@@ -1,5 +1,9 @@
 import datetime as dt
 
+import duckdb
+from pyspark.sql import functions as F
+
+from quartier.plans import catalog
 from quartier.streaming import alerts
 
 SPANS = "ts timestamp, model string, tokens_in long, tokens_out long"
@@ -41,3 +45,26 @@ def test_alert_once_totals_at_the_end_and_late_rows_dropped(spark, tmp_path):
         assert told() == [(1, "alert", 5, 12.0), (1, "total", 6, 112.0), (2, "total", 1, 1.0), (4, "alert", 1, 12.0)]
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_costs_are_added_in_order_of_time(spark, tmp_path):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    prices = spark.createDataFrame([("m", 1e6, 0.0)], "model string, usd_in double, usd_out double")
+    rows = [(at(1, 1), "m", 10**16, 0), (at(1, 2), "m", 1, 0), (at(1, 2), "none", 9, 0), (at(1, 3), "m", 1, 0)]  # a dollar added to 1e16 is lost, two are not
+    spark.createDataFrame(rows[::-1], SPANS).coalesce(1).write.parquet(f"{tmp_path}/in")
+    try:
+        stream = spark.readStream.schema(SPANS).parquet(f"{tmp_path}/in")
+        alerts.write_batches(alerts.stream_spend(stream, prices), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+        assert [(r.kind, r.calls, r.cost) for r in alerts.read_batches(spark, f"{tmp_path}/out").collect()] == [("alert", 4, 1e16)]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_spend_alerts_equal_sql_to_the_last_digit(spark, tmp_path):
+    given = "/root/testdata/sf0.001/events.parquet"
+    spark.read.parquet(given).orderBy(F.xxhash64("event_id")).repartition(5).write.parquet(f"{tmp_path}/events.parquet")  # files in no order of time
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{given}')")
+    got = catalog.QUERIES["st5_spend_alerts"](spark, str(tmp_path)).select("day", "kind", "calls", "cost", "dropped").collect()
+    want = con.execute(f"SELECT day, kind, calls, cost, dropped FROM ({catalog.ORACLES['st5_spend_alerts']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
