@@ -227,12 +227,12 @@ def prevalence(df: DataFrame, label: str, date: str | None = None) -> DataFrame:
 def usage_cost(spans: DataFrame, prices: DataFrame, daily_limit: float) -> DataFrame:
     """(day, model, calls, tokens_in, tokens_out, cost, over_limit): spending by day and model; the flag looks at the day as a whole.
 
-    prices: (model, usd_in, usd_out) for a million tokens.
+    prices: (model, usd_in, usd_out) for a million tokens. Costs have six decimals and 22 digits before them, so a day's sum has room for any number of calls.
     """
     cost = (F.col("tokens_in") * F.coalesce("usd_in", F.lit(0.0)) + F.col("tokens_out") * F.coalesce("usd_out", F.lit(0.0))) / 1e6
     rows = spans.join(prices, "model", "left").withColumns({"day": F.col("ts").cast("date"), "cost": cost})
     by_model = rows.groupBy("day", "model").agg(
-        F.count(F.lit(1)).alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost").cast("decimal(10,6)").alias("cost")
+        F.count(F.lit(1)).alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost").cast("decimal(28,6)").alias("cost")
     )
     days = by_model.groupBy("day").agg((F.sum("cost") > daily_limit).alias("over_limit"))
     return by_model.join(days, "day")
