@@ -16,6 +16,9 @@ from ..sources.store import upsert
 #: Fixed patterns: a section mark at the start of a line, and a paragraph mark such as (a), (1) or (iv).
 SECTION_MARK = r"^(§\s*\d+[.\-]\d+[\w.]*)"
 PARAGRAPH_MARK = r"^\s*\(([a-z]|\d+|i{1,3}v?|vi{0,3})\)\s+"
+#: Characters of a title, and how a text goes on with its line.
+TITLE = 120
+SAME_LINE = r"(?U)\A[\s\x1c-\x1f&&[^\n]]*[^\s\x1c-\x1f]"
 
 
 #: Lines end with a line feed only, and letters, digits and space are those of Unicode.
@@ -35,9 +38,10 @@ def _after(text: Column, pattern: str) -> Column:
 def split_sections(docs: DataFrame, text: str = "text", doc: str = "doc_id", marker: str = SECTION_MARK, whole: str = "§(full)") -> DataFrame:
     """Sections of each text, in order, each followed by its paragraphs; a text without a mark is one section.
 
-    A title is the rest of the first line that has one after the mark, up to 120 characters; the mark's own line may be blank. Null texts give no rows.
+    A title is the rest of the first line that has one after the mark, up to 120 characters; the mark's own line may be blank. What is left of a longer line
+    begins the content, and as it does not stand at the start of a line, no paragraph begins there. Null texts give no rows.
     """
-    mark, paragraph = FLAGS + marker + r"(?:\s+([^\n]{0,120}))?", FLAGS + PARAGRAPH_MARK
+    mark, paragraph = FLAGS + marker + rf"(?:\s+([^\n]{{0,{TITLE}}}))?", FLAGS + PARAGRAPH_MARK
     found = lambda c, pattern, group: F.regexp_extract_all(c, F.lit(pattern), group)
     none = F.lit(None).cast("string")
     entry = lambda citation, parent, title, content, depth, more: F.struct(
@@ -45,13 +49,15 @@ def split_sections(docs: DataFrame, text: str = "text", doc: str = "doc_id", mar
     )
 
     def with_paragraphs(s: Column) -> Column:
-        top = F.regexp_replace(s["mark"], " ", "")
-        parts = F.zip_with(found(s["body"], paragraph, 1), _after(s["body"], paragraph), lambda label, body: F.struct(label.alias("label"), body.alias("body")))
+        top, body = F.regexp_replace(s["mark"], " ", ""), s["body"]["text"]
+        lines = F.when((F.length(s["title"]) == TITLE) & s["body"]["same_line"], F.concat(F.lit("-"), body)).otherwise(body)
+        parts = F.zip_with(found(lines, paragraph, 1), _after(lines, paragraph), lambda label, body: F.struct(label.alias("label"), body.alias("body")))
         below = F.transform(parts, lambda p: entry(F.concat(top, F.lit("("), p["label"], F.lit(")")), top, F.lit(""), _stripped(p["body"]), F.lit(1), F.lit(False)))
-        return F.concat(F.array(entry(top, none, _stripped(s["title"]), s["body"], F.lit(0), F.size(parts) > 0)), below)
+        return F.concat(F.array(entry(top, none, _stripped(s["title"]), body, F.lit(0), F.size(parts) > 0)), below)
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc).cast("string").alias("doc_id"), F.col(text).alias("_t"))
-    marks = F.arrays_zip(found(F.col("_t"), mark, 1).alias("mark"), found(F.col("_t"), mark, 2).alias("title"), F.transform(_after(F.col("_t"), mark), _stripped).alias("body"))
+    bodies = F.transform(_after(F.col("_t"), mark), lambda b: F.struct(_stripped(b).alias("text"), F.rlike(b, F.lit(SAME_LINE)).alias("same_line")))
+    marks = F.arrays_zip(found(F.col("_t"), mark, 1).alias("mark"), found(F.col("_t"), mark, 2).alias("title"), bodies.alias("body"))
     rows = rows.withColumn("_m", marks)
     alone = F.array(entry(F.lit(whole), none, F.lit(""), _stripped(F.col("_t")), F.lit(0), F.lit(False)))
     sections = F.when(F.size("_m") == 0, alone).otherwise(F.flatten(F.transform("_m", with_paragraphs)))
