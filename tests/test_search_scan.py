@@ -89,7 +89,7 @@ def test_neither_pairs_nor_texts_of_others_are_shuffled(spark):
     assert new < 0.25 * sum(map(len, texts))  # pairs alone were more than their half, and the texts were shuffled twice
 
 
-@pytest.mark.parametrize("name", ["r13_retrieve", "r11_rerank_whole", "r13_retrieve_lexical"])
+@pytest.mark.parametrize("name", ["r13_retrieve", "r11_rerank_whole", "r13_retrieve_lexical", "r11_rerank_batch"])
 def test_queries_shuffle_a_small_part_of_the_texts(spark, name):
     path = "/root/testdata/sf0.01"
     before = shuffled(spark)
